@@ -4,22 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rowsmith.llm.line_dedup import line_dedup
 from rowsmith.llm.near_dedup import near_duplicates
+from rowsmith.llm.packing import pack
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of runs of 50 words or more."""
+    return line_dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines_removed")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return pack(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER), 4096, 2).drop("ids")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their 4-word shingles."""
     return near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
