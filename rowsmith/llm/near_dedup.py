@@ -12,9 +12,11 @@ missed with probability (1 - 0.8**4)**32 = 5e-8.  The estimate's bound
 
 Groups of any size: equal sets collapse to one class first; each bucket then
 links to its smallest member; only classes of *different* components that still
-share a bucket are compared again, inside tasks, in blocks of at most ``BLOCK``
-sketches, and only pairs that pass the estimate leave the task.  Hence nothing
-emits the pairs of a group, and no bucket is capped.
+share a bucket are compared again, by sketch, inside tasks, in blocks of about ``BLOCK``;
+the ids of those that have a partner leave the task.  Among these a prefix join on their
+rarest shingles finds the candidates exactly (two sets this alike share one of the
+rarest fifth), and each is confirmed.  Hence nothing emits the pairs of a group, and
+no bucket is capped.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a
 text of fewer than k words has its whole sequence as only shingle; rows that
@@ -110,53 +112,77 @@ def _estimated(least: float):
 
 
 def _within(least: float):
-    """Rows (cell, side, component, rep, registers) sorted by cell; compares a cell's components with each other.
+    """Rows (cell, side, component, rep, registers) sorted by cell; keeps reps alike enough to one of another component.
 
     side 0: a whole bucket or a block of it against itself; sides 1 and 2: two blocks.
     """
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def partnered(rows: list[tuple]) -> np.ndarray:
         side = np.array([r[0] for r in rows])
         comp, rep = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, BUCKETS)
-        out_a, out_b = [], []
-        left = np.flatnonzero(side < 2)
-        for i in left:
+        hit = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(side < 2):
             others = np.flatnonzero((side == 2) if side[i] == 1 else (np.arange(len(rows)) > i))
             others = others[comp[others] != comp[i]]
             if len(others):
                 good = others[likeness(regs[i], regs[others]) >= least]
-                out_a.append(np.minimum(rep[i], rep[good]))
-                out_b.append(np.maximum(rep[i], rep[good]))
-        none = np.empty(0, np.int64)
-        return (np.concatenate(out_a) if out_a else none), (np.concatenate(out_b) if out_b else none)
+                hit[good] = True
+                hit[i] |= len(good) > 0
+        return rep[hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, seen = None, [], set()
 
-        def flush() -> pa.RecordBatch | None:
-            if len(rows) < 2 or len({r[1] for r in rows}) < 2:
-                return None
-            a, b = pairs(rows)
-            fresh = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
-            if len(seen) > 100_000:
+        def flush() -> pa.RecordBatch:
+            found = set(partnered(rows).tolist()) - seen if len({r[1] for r in rows}) > 1 else set()
+            if len(seen) > 1_000_000:
                 seen.clear()
-            seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"]) if fresh else None
+            seen.update(found)
+            return pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["rep"])
 
         for batch in batches:
             for c, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if c != cell:
-                    if (done := flush()) is not None:
-                        yield done
+                    yield flush()
                     cell, rows = c, []
                 rows.append(row)
-        if (done := flush()) is not None:
-            yield done
+        yield flush()
 
     return run
 
 
+def _shingle_lists(k: int):
+    """Rows (rep, component, text) to (rep, component, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sets in K.text_shingles(batch.column(2), k):
+                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), batch.column(1).slice(lo, len(sets)), lists], names=["rep", "component", "shingles"])
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components among sets (rep, component, shingles).
+
+    Exact: sets as alike as ``percent`` share one of their rarest shingles, in any
+    order that all sets follow; here by document frequency, then hash.  Pairs inside
+    a shingle's most frequent component are never formed.
+    """
+    rows = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1).cast("int")
+    prefix = ranked.select("rep", "component", "n", F.explode(F.slice("s", 1, F.least(F.col("n"), length + 1))).alias("e")).where("e.df > 1").select("rep", "component", "n", F.col("e.h").alias("h"))
+    major = prefix.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
+    prefix = prefix.join(major, "h")
+    left = prefix.where("component <> major").select("h", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    right = prefix.select("h", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    both = left.join(right, "h").where(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _confirm(k: int, percent: int):
     """Rows (a, b, text a, text b) to the pairs with 100 * intersection >= percent * union."""
 
@@ -192,19 +218,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = store.put(rows.join(shared, ["band", "key"]), "members")
 
     # Stars: every member to its bucket's smallest; the estimate first, then the full sets.
-    def confirmed(pairs: DataFrame, name: str, estimated: bool) -> DataFrame:
-        pairs = pairs.distinct()
-        if not estimated:
-            left, right = reps.toDF("a", "ra"), reps.toDF("b", "rb")
-            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_estimated(least), "a long, b long")
-        pairs = store.put(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = source.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else source.join(wanted, "doc_id")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        found = source.join(ids, "doc_id")
+        return found.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else found
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.distinct().join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
+        pairs = store.put(pairs.mapInArrow(_estimated(least), "a long, b long"), f"{name}-pairs")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return store.put(both.mapInArrow(_confirm(k, percent), "a long, b long"), f"{name}-links")
 
     stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    links = confirmed(stars, "star", estimated=False)
+    links = confirmed(stars, "star")
     # Rows of one doc_id with different texts are one document.
     links = links.unionAll(classes.select("rep").join(full.join(classes, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "rep").distinct(), "rep").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))) if repeated else links
     first = store.put(components(store, links, "cc-star"), "cc-star")
@@ -223,8 +249,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
     cells = rest.select("band", "key", "component", "rep", "registers", F.explode(grid).alias("g"))
     cells = cells.select(F.xxhash64("band", "key", "g.i", "g.j").alias("cell"), F.col("g.side").alias("side"), "component", "rep", "registers")
-    extra = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_within(least), "a long, b long")
-    more = confirmed(extra, "rest", estimated=True)
+    close = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_within(least), "rep long")
+    close = store.put(close.distinct().join(labelled.select("rep", "component").distinct(), "rep"), "close")
+    texts = texts_of(close.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    sets = close.join(texts, "rep").select("rep", "component", "text").mapInArrow(_shingle_lists(k), "rep long, component long, shingles array<long>")
+    more = confirmed(_prefix_pairs(store.put(sets, "sets"), percent), "rest")
     last = store.put(components(store, links.unionAll(more), "cc"), "component")
 
     named = features.join(classes.select("n_shingles", "sig_a", "sig_b", "rep"), ["n_shingles", "sig_a", "sig_b"], "left")
