@@ -35,6 +35,9 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# Symbols: all ASCII but letters and digits.
+_SYMBOL = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -78,18 +81,30 @@ def chunks(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts.
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which :func:`range_hash` takes any range's hash; A-Z count as a-z."""
+    summed = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE_LOWER[data] * _power("up", _BASE, len(data)), out=summed[1:])
+    return summed
+
+
+def range_hash(summed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    hashes = (summed[ends] - summed[starts]) * _power("down", _BASE_INV, len(summed))[starts]
+    return mix(hashes + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: str = "space") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts, or runs between any ASCII symbols.
 
     Returns (starts, ends, hashes, word_offsets): byte ranges, 64-bit hashes
-    with A-Z lowered if asked, and where each text's words begin.
+    with A-Z lowered, and where each text's words begin.
     """
     offsets = np.asarray(offsets, np.int64)
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, _U), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~(_SPACE if separators == "space" else _SYMBOL)[data]
     first = np.zeros(n + 1, dtype=bool)
     first[0] = True
     first[offsets] = True
@@ -97,10 +112,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     finishes = inside & (first[1:] | ~np.concatenate((inside[1:], [False])))
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(finishes) + 1
-    summed = np.zeros(n + 1, _U)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", _BASE, n), out=summed[1:])
-    hashes = (summed[ends] - summed[starts]) * _power("down", _BASE_INV, n + 1)[starts]
-    hashes = mix(hashes + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    hashes = range_hash(prefix_sums(data), starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 

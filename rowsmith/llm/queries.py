@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rowsmith.llm import html_text, quality, toxicity, warc
 from rowsmith.llm.line_dedup import line_dedup
 from rowsmith.llm.near_dedup import near_duplicates
 from rowsmith.llm.packing import pack
+from rowsmith.llm.simhash import edit_study
+from rowsmith.llm.toxicity import held_out
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +21,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later copies of runs of 50 words or more."""
     return line_dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines_removed")
@@ -25,6 +36,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
     return pack(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER), 4096, 2).drop("ids")
 
 
@@ -33,8 +46,37 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits, and their neighbours within 3 bits."""
+    return edit_study(_docs(spark, sf_dir), radius=3)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = _docs(spark, sf_dir)
+    scored = quality.quality(docs, quality.train(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(_pages(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(_pages(spark, sf_dir), least=0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score and offending spans of every document."""
+    docs = _docs(spark, sf_dir)
+    scored = toxicity.toxicity(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_minhash_near_dedup, op5_quality_classifier, op6_simhash, op7_html_extraction, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
