@@ -328,8 +328,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     share = marked.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
     if not share or share >= 1:
         return None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id").where(f"octet_length(text) between 1 and {SAMPLE_BYTES}")
-    found = [r for flag in (True, False) for r in rows.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "text").limit(sample).select("text", "toxic").toLocalIterator()]
+    # Ids first: at most 2 * sample of them go to the scan of the texts, which isn't shuffled.
+    chosen = [r for flag in (True, False) for r in marked.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic, i) for i, r in enumerate(chosen)], "doc_id long, toxic boolean, at int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"octet_length(text) between 1 and {SAMPLE_BYTES}").join(picked, "doc_id")
+    found = sorted(rows.select("at", "text", "toxic").toLocalIterator(), key=lambda r: (r["at"], r.text))
     return fit([r.text.encode() for r in found], np.array([r.toxic for r in found], bool), float(share))
 
 
