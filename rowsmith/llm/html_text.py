@@ -253,8 +253,14 @@ def extract(source: str | None, weights: Weights) -> str:
 
 def train(pages: DataFrame) -> Weights:
     """Learns from at most SAMPLE pages (least hash first) that name their content."""
-    rows = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= SAMPLE_BYTES)).orderBy(F.xxhash64("html")).limit(SAMPLE).select("html")
-    return learn([r.html for r in rows.toLocalIterator()])
+    named = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= SAMPLE_BYTES)).select(F.xxhash64("html").alias("h"), "html")
+    # Hashes first: a bounded number of them goes to the scan, so no task merges many pages.
+    chosen = [r.h for r in named.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    if not chosen:
+        return learn([])
+    picked = F.broadcast(pages.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))
+    rows = named.join(picked, "h").dropDuplicates(["h"])
+    return learn([r.html for r in sorted(rows.collect(), key=lambda r: r.h)])
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

@@ -167,12 +167,16 @@ def pool(x: np.ndarray, ones: np.ndarray, count: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(([at[0] - 1.0], at, [at[-1] + 1.0])), np.concatenate(([rate[0] * 0.5], rate, [1 - (1 - rate[-1]) * 0.5]))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on all labelled rows that aren't held out (crc32 mod 4 is 2)."""
-    store = Store(docs.sparkSession, "quality")
+def measure(docs: DataFrame, store: Store) -> DataFrame:
+    """(doc_id, stats) of every row, written: texts are read once and never shuffled."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return store.put(source.mapInArrow(_measure, "doc_id long, stats array<double>"), "measured")
+
+
+def train(statistics_of: DataFrame, labels: DataFrame, store: Store) -> Model | None:
+    """Fits on all labelled rows of (doc_id, stats) that aren't held out (crc32 mod 4 is 2)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") > 0, 1.0).otherwise(0.0).alias("y")).where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"), 4, 2)).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-    measured = store.put(rows.select("doc_id", "text", "y", "fold").mapInArrow(_measure, "doc_id long, stats array<double>, y double, fold int"), "measured")
+    measured = store.put(statistics_of.join(marked, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "labelled")
     moments = measured.agg(F.count("*").alias("n"), *(f(F.get("stats", F.lit(i))).alias(f"{f.__name__}{i}") for i in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop))).first()
     if not moments.n:
         return None
@@ -194,21 +198,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     bins = measured.select("stats", "y", "fold").mapInArrow(binned, "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     knots = pool(np.array([b.s for b in bins]), np.array([b.y for b in bins]), np.array([float(b.n) for b in bins]))
-    store.drop("measured")
+    store.drop("labelled")
     return Model(mean, scale, _solve(everything), knots)
 
 
-def quality(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score, predicted) for every row, from its whole text."""
+def score(statistics_of: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, score, predicted) for every row of (doc_id, stats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(1))
-            for lo, hi in K.chunks(offsets):
-                score = np.full(hi - lo, 0.5)
-                if model is not None:
-                    score = np.clip(model.score(statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])), 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            s = np.full(batch.num_rows, 0.5)
+            if model is not None and batch.num_rows:
+                s = np.clip(model.score(_matrix(batch.column(1))), 0, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double, predicted int")
+    return statistics_of.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score, predicted) for every row of ``docs``, from its whole text, as the labelled rows teach."""
+    store = Store(docs.sparkSession, "quality")
+    measured = measure(docs, store)
+    return score(measured, train(measured, labels, store))

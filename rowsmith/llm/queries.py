@@ -65,7 +65,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = _docs(spark, sf_dir)
-    scored = quality.quality(docs, quality.train(docs, _labels(spark, sf_dir)))
+    scored = quality.quality(docs, _labels(spark, sf_dir))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 

@@ -59,15 +59,15 @@ def test_held_out_accuracy(spark):
         rows.append((i, text if good else junk(rnd, text), int(good)))
     docs = spark.createDataFrame([(i, t, "", "", 0) for i, t, _ in rows] + [(None, None, None, None, None), (1, "", "", "", 0)], SCHEMA).selectExpr("*", "1 as stats", "1 as y", "1 as fold")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    out = q.quality(docs, q.train(docs, labels)).collect()
+    out = q.quality(docs, labels).collect()
     assert len(out) == 602 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
     truth = {i: y for i, _, y in rows}
     held = [r for r in out if r.doc_id not in (None, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
-    assert q.quality(docs.limit(0), None).count() == 0
+    assert q.quality(docs.limit(0), labels).count() == 0
 
 
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "", "", 0)], SCHEMA)
-    model = q.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    assert model is None and q.quality(docs, model).first().score == 0.5
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert q.quality(docs, labels).first().score == 0.5
