@@ -123,7 +123,9 @@ def edit_study(docs: DataFrame, radius: int = 3) -> DataFrame:
     whole = store.put(fingerprints(own, ["row", "doc_id"], "text", "f"), "whole")
 
     half = F.floor(F.col("n") / 2).cast("int")
-    heads = own.select("row", "text").join(linked.select(F.col("next_row").alias("row"), F.col("row").alias("for_row"), half.alias("take")), "row")
+    # Both sides grow with the documents: a merge join at every size, never a broadcast.
+    wanted = linked.select(F.col("next_row").alias("row"), F.col("row").alias("for_row"), half.alias("take")).hint("merge")
+    heads = own.select("row", "text").join(wanted, "row")
     heads = heads.select(F.col("for_row").alias("row"), F.left("text", F.col("take")).alias("head"))
     edited = own.select("row", "n", F.left("text", (F.col("n") - half).cast("int")).alias("kept")).join(heads, "row").select("row", "n", F.concat("kept", "head").alias("text"))
     edited = fingerprints(edited.withColumn("edited_sha256", F.sha2("text", 256)), ["row", "n", "edited_sha256"], "text", "e")
