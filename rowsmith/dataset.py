@@ -501,6 +501,8 @@ def _sampled(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> t
         if value is pr.DROP or error is not None:
             continue
         parts, names = pr.flatten(value) if group.kind == "map" else ((value,), [op.name])
+        if pr.too_large(parts):
+            continue
         shapes.append((len(parts), tuple(names)))
         found.append(parts)
     if not found:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
@@ -22,6 +24,8 @@ _DOMAIN = {
     "asin": (F.asin, lambda x: F.abs(x) > 1), "acos": (F.acos, lambda x: F.abs(x) > 1), "acosh": (F.acosh, lambda x: x < 1), "atanh": (F.atanh, lambda x: F.abs(x) >= 1),
     "sqrt": (F.sqrt, lambda x: x < 0), "log": (F.ln, lambda x: x <= 0), "log2": (F.log2, lambda x: x <= 0), "log10": (F.log10, lambda x: x <= 0), "log1p": (F.log1p, lambda x: x <= -1),
 }
+#: Every decimal digit of Unicode, and what it stands for.
+_DIGITS = tuple("".join(x) for x in zip(*((chr(c), str(unicodedata.digit(chr(c)))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"), strict=True))
 _UNBOUND = {"sin": False, "tan": False, "cos": False}
 
 
@@ -88,7 +92,8 @@ def _parse(t: Translator, name: str, v: V, s: Scope, guard: Column | None) -> V:
 
     kind = base(v.type)
     if kind == "str":
-        text = t.keep_column(F.replace(F.btrim(t.demand(v, ("str",), s, guard).col, F.lit(WS)), F.lit("_"), F.lit("_")))
+        text = t.keep_column(F.btrim(t.demand(v, ("str",), s, guard).col, F.lit(WS)))
+        text = t.keep_column(F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, *_DIGITS)).otherwise(text))
         good = text.rlike(_INT if name == "int" else _FLOAT)
         t.fail(s, guard, ~good, "ValueError")
         plain = F.replace(text, F.lit("_"), F.lit(""))
@@ -140,7 +145,7 @@ def call(t: Translator, module: str, name: str, args: list[V], named: dict[str,
     if module == "string" and name == "capwords" and len(args) == 1:
         from rowsmith.plans.translate import WS
 
-        c = t.demand(args[0], ("str",), s, guard).col
+        c = t.demand(args[0], ("str",), s, guard, "AttributeError").col
         found = F.filter(F.split(c, "[" + WS.replace(" ", "\\x20", 1) + "]+"), lambda x: x != "")
         return V("str", F.array_join(F.transform(found, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), " "))
     raise Unsupported(f"{module}.{name}")

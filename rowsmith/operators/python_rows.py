@@ -7,6 +7,7 @@ the function as the expression path would, and returns values, or the raised cla
 from __future__ import annotations
 
 import ast
+import enum
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,7 +20,15 @@ from rowsmith import types as ty
 from rowsmith.plans.source import Udf
 from rowsmith.types import Ty
 
-DROP = object()
+
+
+class Signal(enum.Enum):
+    """Pickles by name, so that it stays itself in a worker."""
+
+    DROP = 0
+
+
+DROP = Signal.DROP
 
 
 class PyRow(tuple):
@@ -112,6 +121,15 @@ def flatten(value: Any) -> tuple[tuple, list[str | None]]:
     return (value,), [None]
 
 
+def too_large(v: Any) -> bool:
+    """Whether a value holds an integer beyond 64 bits, which no column does."""
+    if isinstance(v, int):
+        return not -(1 << 63) <= v < 1 << 63
+    if isinstance(v, dict):
+        return any(map(too_large, v)) or any(map(too_large, v.values()))
+    return isinstance(v, tuple | list) and any(map(too_large, v))
+
+
 def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: list[str], out_types: list[Ty], carried: list[str], schema: pa.Schema, has_err: bool):
     """A mapInArrow function from (inputs, carried, _err) to (carried, out, _err)."""
 
@@ -135,7 +153,7 @@ def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: l
                 if error is None and group.kind != "filter":
                     parts = flatten(value)[0] if group.kind == "map" else (value,)
                     if len(parts) != len(out) or not all(ty.fits(p, t) for p, t in zip(parts, out_types, strict=True)):
-                        error = errors.chain(TypeError)
+                        error = errors.chain(OverflowError if any(map(too_large, parts)) else TypeError)
                 keep.append(i)
                 failed.append(error)
                 for k, t in enumerate(out_types):

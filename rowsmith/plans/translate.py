@@ -457,7 +457,10 @@ class Translator:
                 if isinstance(op, ast.Mod):
                     return V("i64" if whole else "f64", F.when(adjust, rest + safe).otherwise(rest))
                 if whole:
-                    down = F.call_function("div", p - rest, safe)
+                    least = (p == -(1 << 63)) & (safe == -1)  # the one quotient beyond 64 bits
+                    down = F.call_function("div", F.when(~least, p - rest), safe)
+                    if not (b.known and b.const != -1):
+                        self.fail(s, guard, least, "OverflowError")
                     return V("i64", F.when(adjust, down - 1).otherwise(down))
                 down = F.rint((p - rest) / safe)
                 return V("f64", F.when(adjust, down - 1).otherwise(down))
@@ -494,7 +497,7 @@ class Translator:
         if not (b.known and float(b.const).is_integer()):
             raise Unsupported("a power that may be complex")
         out = F.pow(p, q)
-        self.fail(s, guard, F.abs(out) == float("inf") if not whole else F.lit(False), "OverflowError") if not whole else None
+        self.fail(s, guard, (F.abs(out) == float("inf")) & (F.abs(p) < float("inf")) & (p != 0), "OverflowError")
         return V("f64", out)
 
     def unary(self, op: ast.unaryop, v: V, s: Scope, guard: Column | None) -> V:
@@ -741,12 +744,15 @@ class Translator:
         self.pure += 1
         try:
             for e in ifs:
-                array = F.filter(array, lambda x, e=e: self.truth(self.expr(e, _with(s, name, V(element, x)), guard)))
+                array = F.filter(array, self.keeps(e, name, element, s, guard))
             out = F.transform(array, body)
         finally:
             self.pure -= 1
         return V(("list", found[0]), out)
 
+    def keeps(self, e: ast.expr, name: str, element: Ty, s: Scope, guard: Column | None):
+        return lambda x: self.truth(self.expr(e, _with(s, name, V(element, x)), guard))
+
     # -- calls --------------------------------------------------------------------
 
     def call(self, n: ast.Call, s: Scope, guard: Column | None) -> V:

@@ -6,6 +6,7 @@ import math
 import re
 import string
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,7 @@ def query(sql: str | None, python: bool = False) -> Callable:
 
         _QUERIES[f.__name__] = run
         if python:
-            _QUERIES[f"fallback_{f.__name__}"] = lambda spark, sf_dir: run(spark, sf_dir, forcePython=True)
+            _QUERIES[f"fallback_{f.__name__}"] = partial(run, forcePython=True)
         if sql:
             _SQL[f.__name__] = sql
             if python:
