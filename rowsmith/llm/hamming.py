@@ -32,16 +32,11 @@ FLIPS = 20_000
 def code(embedding: Column) -> Column:
     """The signs of an embedding's components as 64 bits; components 64 apart are added first."""
     n = F.size(embedding)
-
-    def bit(i: int) -> Column:
-        total = F.aggregate(F.filter(embedding, lambda _, at: at % BITS == i), F.lit(0.0), lambda a, x: a + x.cast("double"))
-        return F.when(total > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)).cast("long")
-
-    exact = lambda i: F.when(F.get(embedding, F.lit(i)) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)).cast("long")
-    short, long = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(BITS):
-        short, long = short.bitwiseOR(exact(i)), long.bitwiseOR(bit(i))
-    return F.when((n > 0) & (n <= BITS), short).when(n > BITS, long)
+    folded = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.aggregate(F.filter(embedding, lambda _, at: at % BITS == i), F.lit(0.0), lambda a, x: a + x.cast("double")))
+    parts = F.when(n <= BITS, F.transform(embedding, lambda x: x.cast("double"))).otherwise(folded)
+    one = F.lit(1).cast("long")
+    bits = F.transform(parts, lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
+    return F.when(n > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def _segments(codes: int) -> list[tuple[int, int]]:
@@ -59,7 +54,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of each query; both are (id, code)."""
     spark = rows.sparkSession
     store = Store(spark, "hamming")
-    rows = rows.where("id is not null and code is not null").select("id", "code")
+    rows = store.put(rows.where("id is not null and code is not null").select("id", "code"), "rows")
     queries = store.put(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")), "queries")
     nearest = Window.partitionBy("code").orderBy("id")
     ids = store.put(rows.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).select("code", "id", "nth"), "ids")
@@ -75,23 +70,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     pending = store.put(queries.select("q").distinct(), "pending-0")
     found: DataFrame | None = None
     for r in range(max(w for _, w in segments) + 1):
-        probes = []
-        for j, (s, w) in enumerate(segments):
-            if r > w:
-                continue
-            mine = used.where(F.col("segment") == j).select("segment", "value", "cells")
-            own = pending.select("q", _part(F.col("q"), s, w).alias("own"))
-            if comb(w, r) <= FLIPS:
-                masks = F.broadcast(spark.createDataFrame([(j, [sum(1 << b for b in c) for c in combinations(range(w), r)])], "segment int, masks array<long>"))
-                flips = own.withColumn("segment", F.lit(j)).join(masks, "segment").select("q", "segment", "own", F.explode("masks").alias("mask"))
-                probes.append(flips.select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(mine, ["segment", "value"]).select("segment", "value", "q", "cells"))
-            else:  # so many flips that the values in use are fewer: a stated query set against them
-                probes.append(own.join(mine, F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == r).select("segment", "value", "q", "cells"))
-        if not probes:
+        few = [j for j, (_, w) in enumerate(segments) if r <= w and comb(w, r) <= FLIPS]
+        many = [j for j, (_, w) in enumerate(segments) if r <= w and comb(w, r) > FLIPS]
+        own = pending.select("q", F.explode(F.array(*(F.struct(F.lit(j).alias("segment"), _part(F.col("q"), s, w).alias("own")) for j, (s, w) in enumerate(segments) if j in few or j in many))).alias("e")).select("q", "e.*")
+        probe = None
+        if few:
+            masks = F.broadcast(spark.createDataFrame([(j, [sum(1 << b for b in c) for c in combinations(range(segments[j][1]), r)]) for j in few], "segment int, masks array<long>"))
+            flips = own.join(masks, "segment").select("q", "segment", "own", F.explode("masks").alias("mask"))
+            probe = flips.select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(used, ["segment", "value"]).select("q", "segment", "value", "cells")
+        if many:  # so many flips that the values in use are fewer: a stated query set against them
+            found_by_value = own.where(F.col("segment").isin(many)).join(used, "segment").where(F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == r).select("q", "segment", "value", "cells")
+            probe = found_by_value if probe is None else probe.unionByName(found_by_value)
+        if probe is None:
             break
-        probe = probes[0]
-        for p in probes[1:]:
-            probe = probe.unionByName(p)
         probe = probe.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("q", "segment", "value", "cell")
         apart = F.col("q").bitwiseXOR(F.col("code"))
         per = [F.bit_count(_part(apart, s, w)) for s, w in segments]
