@@ -196,30 +196,36 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _choose(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate hashes, chosen ones among them): greedy cover of toxic documents."""
-    per = []
-    for lo in range(0, len(texts), 200):
-        part = texts[lo : lo + 200]
-        offsets = np.cumsum([0, *map(len, part)])
-        starts, _, features, _ = tokens(np.frombuffer(b"".join(part), np.uint8), offsets)
-        bounds = np.searchsorted(starts, offsets)
-        own = [np.unique(features[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        per.append((np.repeat(np.arange(lo, lo + len(part)), [len(u) for u in own]), np.concatenate(own)))
-    where = [p[0] for p in per]
-    bad = np.concatenate([p[1][toxic[w]] for p, w in zip(per, where, strict=True)])
-    hashes, count = np.unique(bad, return_counts=True)
+    """(candidate hashes, chosen ones among them): greedy cover of toxic documents.
+
+    Only toxic documents' features are kept; clean documents are counted as they pass.
+    """
+
+    def distinct(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text's distinct features."""
+        for lo in range(0, len(rows), 100):
+            part = [texts[i] for i in rows[lo : lo + 100]]
+            offsets = np.cumsum([0, *map(len, part)])
+            starts, _, features, _ = tokens(np.frombuffer(b"".join(part), np.uint8), offsets)
+            bounds = np.searchsorted(starts, offsets)
+            for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                yield int(rows[lo + k]), np.unique(features[x:y])
+
+    found = list(distinct(np.flatnonzero(toxic)))
+    hashes, count = np.unique(np.concatenate([u for _, u in found]), return_counts=True)
     hashes, count = hashes[count >= 2], count[count >= 2]
+
+    def places(u: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hashes, u), max(0, len(hashes) - 1))
+        return at[hashes[at] == u] if len(hashes) else at[:0]
+
+    feature = [places(u) for _, u in found]
+    doc = np.repeat([i for i, _ in found], [len(f) for f in feature])
+    feature = np.concatenate(feature)
+    del found
     clean = np.zeros(len(hashes))
-    doc, feature = [], []
-    for p, w in zip(per, where, strict=True):
-        at = np.minimum(np.searchsorted(hashes, p[1]), max(0, len(hashes) - 1))
-        hit = hashes[at] == p[1] if len(hashes) else np.zeros(len(at), bool)
-        good = hit & ~toxic[w]
-        np.add.at(clean, at[good], 1)
-        good = hit & toxic[w]
-        doc.append(w[good])
-        feature.append(at[good])
-    doc, feature = np.concatenate(doc), np.concatenate(feature)
+    for _, u in distinct(np.flatnonzero(~toxic)):
+        clean[places(u)] += 1
     pure = clean <= 0.02 * count
     doc, feature = doc[pure[feature]], feature[pure[feature]]
     n_toxic = int(toxic.sum())
