@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.llm import hamming, html_text, mixing, quality, toxicity, warc
-from rowsmith.llm.line_dedup import line_dedup
 from rowsmith.llm.near_dedup import near_duplicates
 from rowsmith.llm.packing import pack
+from rowsmith.llm.passage_dedup import passage_dedup
 from rowsmith.llm.simhash import edit_study
 from rowsmith.llm.toxicity import held_out
 
@@ -31,7 +31,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later copies of runs of 50 words or more."""
-    return line_dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines_removed")
+    return passage_dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines_removed")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
