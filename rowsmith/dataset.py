@@ -471,7 +471,7 @@ def _python(context: Context, frame: Frame, op: _Pending) -> Frame:
     cell = frame.names.index(op.name) if op.kind == "cell" else None
     by_name = cell is None and len(frame.cols) == 1 and pr.reads_by_name(udf, frame.names[0])
     group = pr.Group({"with": "column", "cell": "column"}.get(op.kind, op.kind), op.function, by_name, cell, [(h.cls, h.function) for h in op.handlers])
-    types, names = _sampled(context, frame, group, op)
+    types, names, spread = _shape(context, frame, group, op)
     new = [fresh() for _ in types]
     if op.kind == "map":
         carried = list(frame.order)
@@ -481,7 +481,7 @@ def _python(context: Context, frame: Frame, op: _Pending) -> Frame:
         carried = [*frame.order, *(c for c, n in zip(frame.cols, frame.names, strict=True) if n != op.name)]
     fields = {f.name: f for f in frame.df.schema.fields}
     schema = T.StructType([T.StructField(c, fields[c].dataType) for c in carried] + [T.StructField(n, to_spark(t)) for n, t in zip(new, types, strict=True)] + [T.StructField("_err", T.StringType())])
-    run = pr.worker(group, frame.names, frame.types, frame.cols, new, types, carried, pr.arrow_schema(schema), frame.may_fail)
+    run = pr.worker(group, frame.names, frame.types, frame.cols, new, types, carried, pr.arrow_schema(schema), frame.may_fail, spread)
     df = frame.df.mapInArrow(run, schema)
     if op.kind == "filter":
         return replace(frame, df=df, may_fail=True)
@@ -490,27 +490,23 @@ def _python(context: Context, frame: Frame, op: _Pending) -> Frame:
     return _placed(frame, df, op, [F.col(n) for n in new], new, types, [F.col("_err")], True)
 
 
-def _sampled(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> tuple[list[Ty], list[str | None]]:
-    """Result types from running the operator on a sample of rows, as a nullable type or pickles."""
+def _shape(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> tuple[list[Ty], list[str | None], bool]:
+    """Result types and names from running the operator on all rows: on the driver where they are few, else in a pass of its own."""
     if op.kind == "filter":
-        return [], []
-    rows = frame.df.select(*frame.cols).limit(context.number("sampleRows")).collect()
-    shapes, found = [], []
-    for r in rows:
-        value, error = group.run(tuple(ty.decode(v, t) for v, t in zip(r, frame.types, strict=True)), frame.names)
-        if value is pr.DROP or error is not None:
-            continue
-        parts, names = pr.flatten(value) if group.kind == "map" else ((value,), [op.name])
-        if pr.too_large(parts):
-            continue
-        shapes.append((len(parts), tuple(names)))
-        found.append(parts)
-    if not found:
-        return ["pyobj"], [op.name if op.kind != "map" else None]
-    if len(set(shapes)) > 1:
-        raise TypeError("rows of different shapes from one function")
-    types = [ty.unify_all([ty.of_value(p[i]) for p in found], context.flag("autoUpcast")) for i in range(shapes[0][0])]
-    return [ty.opt(t) if t not in ("pyobj", "null") else "pyobj" if t == "null" else t for t in types], list(shapes[0][1])
+        return [], [], True
+    spread, name, upcast = group.kind == "map", op.name if op.kind != "map" else None, context.flag("autoUpcast")
+    good = frame.df.where("_err is null") if frame.may_fail else frame.df
+    rows = good.select(*frame.cols).limit(context.number("sampleRows") + 1).collect()
+    seen = pr.Seen(upcast)
+    if len(rows) > context.number("sampleRows"):
+        df = frame.df.select(*frame.cols, *(["_err"] if frame.may_fail else []))
+        seen = pr.seen_by(df, pr.results(group, frame.names, frame.types, frame.cols, frame.may_fail), spread, name, upcast)
+    else:
+        for r in rows:
+            value, error = group.run(tuple(ty.decode(v, t) for v, t in zip(r, frame.types, strict=True)), frame.names)
+            if value is not pr.DROP and error is None:
+                seen.value(value, spread, name)
+    return seen.columns() or (["pyobj"], [name], True)
 
 
 def _native_fold(context: Context, frame: Frame, udf: source.Udf, parts: list[folds.Part], initial: Any, keys: list[int]) -> Frame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import enum
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -121,6 +122,83 @@ def flatten(value: Any) -> tuple[tuple, list[str | None]]:
     return (value,), [None]
 
 
+def inexact(v: Any) -> bool:
+    """Whether a value holds an integer that no float column holds exactly."""
+    if isinstance(v, int):
+        return abs(v) > 1 << 53
+    if isinstance(v, dict):
+        return any(map(inexact, v)) or any(map(inexact, v.values()))
+    return isinstance(v, tuple | list) and any(map(inexact, v))
+
+
+def holds_float(t: Ty) -> bool:
+    return t == "f64" or (isinstance(t, tuple) and any(map(holds_float, t[1:])))
+
+
+class Seen:
+    """The shapes and types of results. shapes: (count, names) to the columns' types and whether one is inexact; two shapes are as good as more."""
+
+    def __init__(self, upcast: bool):
+        self.upcast, self.shapes = upcast, {}
+
+    def add(self, shape: tuple, types: list[Ty], wide: list[bool]) -> None:
+        if shape not in self.shapes:
+            if len(self.shapes) < 2:
+                self.shapes[shape] = (types, wide)
+            return
+        old, was = self.shapes[shape]
+        self.shapes[shape] = ([x if x == y else ty.unify_all([x, y], self.upcast) for x, y in zip(old, types, strict=True)], [a or b for a, b in zip(was, wide, strict=True)])
+
+    def value(self, value: Any, spread: bool, name: str | None) -> None:
+        parts, names = flatten(value) if spread else ((value,), [name])
+        if not too_large(parts):
+            self.add((len(parts), tuple(names)), [ty.of_value(p) for p in parts], [inexact(p) for p in parts])
+
+    def merge(self, other: Seen) -> None:
+        for shape, (types, wide) in other.shapes.items():
+            self.add(shape, types, wide)
+
+    def columns(self) -> tuple[list[Ty], list[str | None], bool] | None:
+        """(nullable types or pickles, names, whether values are spread), None if there was no result; several shapes are one column of pickles."""
+        if not self.shapes:
+            return None
+        if len(self.shapes) > 1:
+            return ["pyobj"], [None], False
+        ((_, names), (types, wide)), *_ = self.shapes.items()
+        return ["pyobj" if t in ("pyobj", "null") or (w and holds_float(t)) else ty.opt(t) for t, w in zip(types, wide, strict=True)], list(names), True
+
+
+def seen_by(df: Any, each: Callable[[pa.RecordBatch], Iterator[Any]], spread: bool, name: str | None, upcast: bool) -> Seen:
+    """What ``each`` gives over all rows: every partition sends one small record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen(upcast)
+        for batch in batches:
+            for value in each(batch):
+                seen.value(value, spread, name)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(seen)], pa.binary())], names=["seen"])
+
+    out = Seen(upcast)
+    for r in df.mapInArrow(run, "seen binary").collect():
+        out.merge(pickle.loads(r.seen))
+    return out
+
+
+def results(group: Group, names: list, types: list[Ty], inputs: list[str], has_err: bool) -> Callable[[pa.RecordBatch], Iterator[Any]]:
+    """The good results of an operator over a batch."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[Any]:
+        cells = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+        prior = batch.column(batch.schema.get_field_index("_err")).to_pylist() if has_err else [None] * batch.num_rows
+        for i in range(batch.num_rows):
+            if prior[i] is None:
+                value, error = group.run(tuple(ty.decode(c[i], t) for c, t in zip(cells, types, strict=True)), names)
+                if value is not DROP and error is None:
+                    yield value
+
+    return each
+
+
 def too_large(v: Any) -> bool:
     """Whether a value holds an integer beyond 64 bits, which no column does."""
     if isinstance(v, int):
@@ -130,7 +208,7 @@ def too_large(v: Any) -> bool:
     return isinstance(v, tuple | list) and any(map(too_large, v))
 
 
-def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: list[str], out_types: list[Ty], carried: list[str], schema: pa.Schema, has_err: bool):
+def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: list[str], out_types: list[Ty], carried: list[str], schema: pa.Schema, has_err: bool, spread: bool = True):
     """A mapInArrow function from (inputs, carried, _err) to (carried, out, _err)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +229,7 @@ def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: l
                     continue
                 parts: tuple = ()
                 if error is None and group.kind != "filter":
-                    parts = flatten(value)[0] if group.kind == "map" else (value,)
+                    parts = flatten(value)[0] if group.kind == "map" and spread else (value,)
                     if len(parts) != len(out) or not all(ty.fits(p, t) for p, t in zip(parts, out_types, strict=True)):
                         error = errors.chain(OverflowError if any(map(too_large, parts)) else TypeError)
                 keep.append(i)
