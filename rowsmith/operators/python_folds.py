@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowsmith import errors
 from rowsmith import types as ty
-from rowsmith.operators.python_rows import PyRow, flatten
+from rowsmith.operators.python_rows import PyRow, flatten, seen_by, too_large
 from rowsmith.types import to_spark
 
 if TYPE_CHECKING:
@@ -102,20 +102,30 @@ def _merge(combine: Callable, initial: Any, keys: list[str]):
     return run
 
 
-def _spread(types: list, n: int, keys: list[str]):
+def _spread(types: list, n: int, keys: list[str], spread: bool):
+    """(keys, values, _err): an aggregate that no column of its types holds is set aside as an error."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [flatten(pickle.loads(p))[0] for p in batch.column(len(keys)).to_pylist()]
+            rows, failed = [], []
+            for p in batch.column(len(keys)).to_pylist():
+                value = pickle.loads(p)
+                parts = flatten(value)[0] if spread else (value,)
+                good = len(parts) == n and all(map(ty.fits, parts, types))
+                failed.append(None if good else errors.chain(OverflowError if any(map(too_large, parts)) else TypeError))
+                rows.append([ty.encode(x, t) for x, t in zip(parts, types, strict=True)] if good else [None] * n)
             arrays = [batch.column(i) for i in range(len(keys))]
-            for i in range(n):
-                from pyspark.sql.pandas.types import to_arrow_type
-
-                arrays.append(pa.array([ty.encode(p[i] if ty.fits(p[i], types[i]) else None, types[i]) for p in parts], to_arrow_type(to_spark(types[i]))))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *(f"_v{i}" for i in range(n))])
+            arrays += [pa.array([r[i] for r in rows], to_arrow_type(to_spark(types[i]))) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(failed, pa.string())], names=[*keys, *(f"_v{i}" for i in range(n)), "_err"])
 
     return run
 
 
+def _aggregates(batch: pa.RecordBatch) -> Iterator[Any]:
+    yield from map(pickle.loads, batch.column(batch.schema.get_field_index("_partial")).to_pylist())
+
+
 def python_fold(context: Context, frame: Frame, combine: Callable, aggregate: Callable, initial: Any, key_at: list[int]) -> Frame:
     from rowsmith.dataset import Frame as _Frame
     from rowsmith.dataset import fresh as name_of
@@ -140,11 +150,10 @@ def python_fold(context: Context, frame: Frame, combine: Callable, aggregate: Ca
         merged = good
         if merged.limit(1).count() == 0:
             merged = context.spark.createDataFrame([(bytearray(cloudpickle.dumps(initial)),)], "_partial binary")
-    sample = [flatten(pickle.loads(r._partial))[0] for r in merged.select("_partial").limit(context.number("sampleRows")).collect()]
-    if not sample:
-        sample = [flatten(initial)[0]]
-    n = len(sample[0])
-    types = [ty.unify_all([ty.of_value(s[i]) for s in sample]) for i in range(n)]
-    types = [t if t == "pyobj" else "pyobj" if t == "null" else ty.opt(t) for t in types]
-    out = merged.mapInArrow(_spread(types, n, keys), head + ", ".join(f"_v{i} {to_spark(t).simpleString()}" for i, t in enumerate(types)))
-    return _Frame(out, [*keys, *(f"_v{i}" for i in range(n))], [*(frame.types[i] for i in key_at), *types], [*(frame.names[i] for i in key_at), *[None] * n], failed=[*frame.failed, bad])
+    seen = seen_by(merged.select("_partial"), _aggregates, True, None, context.flag("autoUpcast"))
+    if not seen.shapes:
+        seen.value(initial, True, None)
+    types, _, spread = seen.columns() or (["pyobj"], [None], False)
+    n = len(types)
+    out = merged.mapInArrow(_spread(types, n, keys, spread), head + "".join(f"_v{i} {to_spark(t).simpleString()}, " for i, t in enumerate(types)) + "_err string")
+    return _Frame(out, [*keys, *(f"_v{i}" for i in range(n))], [*(frame.types[i] for i in key_at), *types], [*(frame.names[i] for i in key_at), *[None] * n], may_fail=True, failed=[*frame.failed, bad])
