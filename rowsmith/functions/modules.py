@@ -6,6 +6,7 @@ import math
 import re
 import sys
 import unicodedata
+from itertools import islice
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
@@ -36,15 +37,24 @@ def _null(kind: str) -> V:
 
 
 def builtin(t: Translator, name: str, args: list[V], s: Scope, guard: Column | None) -> V:
-    from rowsmith.plans.translate import Unsupported, V, const
+    from rowsmith.plans.translate import MAX_NODES, MAX_UNROLL, Unsupported, V, const
 
+    if name != "range" and any(a.special and a.special[0] == "range" for a in args):
+        raise Unsupported(f"{name}() of a long range")
     foldable = ("int", "float", "bool", "str", "len", "abs", "range", "reversed", "enumerate", "zip", "min", "max", "sum", "round", "list", "tuple", "sorted", "ord", "chr")
     if name in foldable and args and all(a.known for a in args):
         try:
             out = getattr(__import__("builtins"), name)(*(a.const for a in args))
             if isinstance(out, range | enumerate | zip) or name == "reversed":
-                return V(("list", "i64"), special=("seq", [const(x) for x in list(out)[:1000]]))
+                if isinstance(out, range) and len(out) > MAX_UNROLL:
+                    return V(("list", "i64"), special=("range", out))
+                items = list(islice(out, MAX_NODES + 1))
+                if len(items) > MAX_NODES:
+                    raise Unsupported(f"{name}() of many items")
+                return V(("list", "i64"), special=("seq", [const(x) for x in items]))
             return const(out)
+        except Unsupported:
+            raise
         except Exception as e:
             t.fail(s, guard, None, type(e).__name__)
             return _null("i64")

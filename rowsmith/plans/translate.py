@@ -357,7 +357,7 @@ class Translator:
             return F.lit(bool(v.const))
         if v.special and v.special[0] == "match":
             return F.coalesce(v.special[2].rlike(_java(v.special[1])), F.lit(False))
-        if v.special and v.special[0] == "seq":
+        if v.special and v.special[0] in ("seq", "range"):
             return F.lit(bool(v.special[1]))
         if v.parts is not None:
             return F.lit(len(v.parts) > 0)
@@ -596,6 +596,8 @@ class Translator:
         raise Unsupported(f"== of {ta}, {tb}")
 
     def contains(self, a: V, b: V, s: Scope, guard: Column | None) -> Column:
+        if b.special and b.special[0] == "range":
+            return self.in_range(a, b.special[1])
         if base(b.type) == "str" and b.parts is None:
             text, part = self.demand(b, ("str",), s, guard), self.demand(a, ("str",), s, guard)
             return text.col.contains(part.col)
@@ -616,10 +618,25 @@ class Translator:
             return F.coalesce(F.map_contains_key(self.demand(b, ("dict",), s, guard).col, a.col), F.lit(False))
         raise Unsupported("in")
 
+    def in_range(self, a: V, r: range) -> Column:
+        """Membership in a constant range that isn't empty, by its bounds and step."""
+        kind = base(a.type)
+        if a.known:
+            return F.lit(a.const in r)
+        if kind in ("null", "str"):
+            return F.lit(False)
+        if kind not in ("bool", "i64") or a.col is None or not all(-(1 << 62) <= x < 1 << 62 for x in (r[0], r[-1], r.step)):
+            raise Unsupported(f"{kind} in a range")
+        x, low, high = a.col.cast("long"), min(r[0], r[-1]), max(r[0], r[-1])
+        found = F.when(x.between(low, high), F.pmod(x - F.lit(low).cast("long"), F.lit(abs(r.step)).cast("long")) == 0)
+        return F.coalesce(found, F.lit(False))
+
     def subscript(self, v: V, index: ast.expr, s: Scope, guard: Column | None) -> V:
         if isinstance(index, ast.Slice):
             return self.slice(v, index, s, guard)
         i = self.expr(index, s, guard)
+        if v.special and v.special[0] == "range":
+            raise Unsupported("subscript of a long range")
         if v.special and v.special[0] == "match":
             if not (i.known and isinstance(i.const, int) and 0 <= i.const <= re.compile(v.special[1]).groups):
                 raise Unsupported("match group")

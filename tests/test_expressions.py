@@ -105,3 +105,14 @@ def test_random_choice(spark):
     c = Context(spark=spark)
     assert set(c.parallelize([1] * 50).map(lambda x: random.choice("abc")).collect()) <= set("abc")
     assert set(c.parallelize([1] * 50).map(lambda x: random.choice([4, 5])).collect()) <= {4, 5}
+
+
+def test_long_ranges(spark):
+    values = [-5, -1, 0, 1, 63, 64, 999, 1000, 1001, 2500, 4998, 4999, 5000, 2**62]
+    c = Context(spark=spark)
+    for f in (lambda x: x in range(5000), lambda x: x not in range(1, 5000, 2), lambda x: x in range(4999, -3, -4), lambda x: x in list(range(3000)), lambda x: x in range(3000)[:2000]):
+        assert c.parallelize(values).filter(f).collect() == [x for x in values if f(x)]
+        assert c.parallelize([None, *values]).map(f).collect() == [f(x) for x in [None, *values]]
+    assert c.parallelize([1, 2]).map(lambda x: len(range(5000)) + x).collect() == [5001, 5002]
+    assert c.parallelize([1, 2]).map(lambda x: range(5000)[-1] + x).collect() == [5000, 5001]
+    assert c.parallelize([1.5, 2500.0, 5000.0]).filter(lambda x: x in range(5000)).collect() == [2500.0]
