@@ -120,6 +120,17 @@ def _column_type(cells: list[str | None], t: float) -> Ty:
     return opt(kind) if share > 0 else kind
 
 
+def quoted_feeds(context: Context, paths: list[str], quotechar: str, comments: list[str]) -> bool:
+    """Whether a line of any file has an odd number of quotes, as every line has in which a quoted line feed begins or ends a cell."""
+    if not quotechar:
+        return False
+    line = F.col("value")
+    odd = F.length(F.regexp_replace(line, "[^" + "".join("\\" + q if not q.isalnum() else q for q in quotechar) + "]", "")) % 2 == 1
+    for x in comments[:1]:
+        odd = odd & ~line.startswith(x)
+    return bool(context.spark.read.text(paths).where(odd).take(1))
+
+
 def csv(context: Context, pattern: str, columns: list[str] | None, header: bool | None, delimiter: str | None, quotechar: str, null_values: list[str], type_hints: dict) -> Frame | str:
     paths = glob(context, pattern)
     if not paths:
@@ -154,10 +165,10 @@ def csv(context: Context, pattern: str, columns: list[str] | None, header: bool
 
     raw = [f"r{i}" for i in range(width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*raw, "_extra"]])
-    quoted_feeds = any("\n" in c for r in rows for c in r)
+    whole = context.flag("csv.multiLine") or any("\n" in c for r in rows for c in r) or quoted_feeds(context, paths, quotechar, comments)
     reader = context.spark.read.schema(schema).option("sep", sep).option("quote", quotechar).option("escape", quotechar).option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_extra")
-    # Quoted line feeds make a file unsplittable: only where the sample or the option says so.
-    reader = reader.option("multiLine", bool(quoted_feeds or context.flag("csv.multiLine"))).option("emptyValue", "").option("nullValue", "\u0000").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    # Quoted line feeds make a file unsplittable: only where some file has them or the option says so.
+    reader = reader.option("multiLine", bool(whole)).option("emptyValue", "").option("nullValue", "\u0000").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if comments:
         reader = reader.option("comment", comments[0])
     df = reader.csv(paths)

@@ -80,3 +80,14 @@ def test_helpers_and_options(c, spark, tmp_path):
     again = Context(str(tmp_path / "o.yaml"), spark=spark)
     assert again.options() == c.options() and again.options(nested=True)["csv"]["comments"] == ["#", "~"]
     assert Context({"csv": {"maxDetectionMemory": "64KB"}}, spark=spark).number("csv.maxDetectionMemory") == 65536
+
+
+def test_late_quoted_line_feeds(c, tmp_path):
+    rows = [(i, f"text {i}") for i in range(30000)]
+    body = "".join(f"{i},{t}\n" for i, t in rows)
+    p = put(tmp_path / "g.csv", f'a,b\n{body}30000,"x\n""y""\n\nz"\n30001,w\n')
+    got = c.csv(p)
+    assert got.collect() == [*rows, (30000, 'x\n"y"\n\nz'), (30001, "w")] and not got.exception_counts
+    put(tmp_path / "h1.csv", "a,b\n1,u\n2,v\n")
+    put(tmp_path / "h2.csv", 'a,b\n3,"x\ny"\n')
+    assert c.csv(f"{tmp_path}/h*.csv").collect() == [(1, "u"), (2, "v"), (3, "x\ny")]
