@@ -2,25 +2,34 @@
 
 A document is its sequence of words ``\\S+``; line feeds are white space like any other, so a
 passage is found wherever in a line it begins or ends.  Fingerprints are the words that a hash
-samples, and every word with no sampled one among the ``WINDOW_WORDS`` from it on; a
-fingerprint's gram is the ``GRAM_WORDS`` words from it on.  All depend only on the words
+samples, and the least word of every window of ``WINDOW`` words without a sampled one; a
+fingerprint's gram is the ``GRAM`` words from it on.  All depend only on the words
 themselves, so every run of ``RUN_WORDS`` (50) words has a gram within, the same in each copy.
 
-Where all grams of a run of ``RUN_WORDS`` words occur in several positions, it is compared
-with the equal runs; all but the first (least row, then least word) are deleted.  Together
-these runs cover each repeated passage of that size to its very ends, whichever of several
-earlier places it was copied from.  A deleted word always stands in an earlier place too,
-so the first copy is never deleted.
+Positions of equal grams are joined: each learns an earlier position, where there is one.  Grams
+that follow each other at the same distance from their earlier positions overlap, so their
+matches extend each other into chains, and a chain of ``RUN_WORDS`` words or more is a repeated
+passage without further proof.  Its ends, and wherever a copy changes its model, are found by
+extending to every run of ``RUN_WORDS`` words whose own fingerprints (those that its words alone
+settle) all occur elsewhere too and that isn't inside a chain: equal runs are compared, and all but the first (least row, then least word) are
+deleted.  Chains and runs together cover each repeated passage of that size to its very ends,
+whichever of several earlier places it was copied from.  A deleted word always stands in an
+earlier place too, so the first copy is never deleted.  (A run inside a chain needn't be
+compared: the earliest place with its words is in no chain, and is compared.)
 
 Deleted lines take their line feeds with them; of a line deleted in part the rest stays,
 joined where the passage was cut out.
 
-Skew: equal grams and equal runs meet sorted, in windows that look at neighbours or count on;
-none is held in memory.  A word begins at most one gram and one run.
+Skew: a gram or run that very many documents hold meets in ``SALTS`` windows, which look at
+neighbours and hold nothing; their first rows alone, at most SALTS a gram, meet again.
+
+Hashes of grams and runs have 64 bits: two different ones are taken for equal with probability
+2**-64 a pair; nothing else is left to chance.
 
 Defined cases: null and empty texts pass unchanged; blank lines inside a deleted run go
 with it; where doc_ids repeat or are null, the order of the table's rows
-stands for the order of ids.  Extra columns pass through.
+stands for the order of ids.  Very long texts are read whole.  Extra columns pass through
+whatever their names, but for n_lines_removed, which is replaced.
 """
 
 from __future__ import annotations
@@ -31,10 +40,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.llm._store import Store
-from rowsmith.llm.line_dedup import _ROW, GRAM_WORDS, RUN_WORDS, WINDOW_WORDS, _keyed
 
+RUN_WORDS, GRAM, WINDOW = 50, 26, 25
 #: One word in so many is sampled by its hash.
-SAMPLED = 8
+SAMPLED = 16
+#: Windows over which positions of one gram or run are spread.
+SALTS = 32
 
 
 def _put(store: Store, df: DataFrame, name: str) -> DataFrame:
@@ -53,71 +64,140 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def keyed(docs: DataFrame, store: Store) -> DataFrame:
+    """(doc, row, text): a row's columns as one struct, and a unique key, doc_id itself where that is one."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+    unique = ids.groupBy("i").count().where("count > 1 or i is null").limit(1).count() == 0
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    return out if unique else store.put(out.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def _hashes(text: Column) -> Column:
     return F.transform(F.split(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), "\\s+", -1), lambda w: F.xxhash64(w))
 
 
+def _at(code: Column) -> Column:
+    """The word of a fingerprint's code."""
+    return F.shiftright(code, 5).cast("int")
+
+
 def _prints(h: Column) -> Column:
-    """The fingerprints' numbers, in order: sampled words, and words with no sampled one among the WINDOW_WORDS from them on."""
+    """Codes of the fingerprints, in order: sampled words, and the first least one of each window without.
+
+    A code holds the word's number and, below, how many words before it the last window
+    begins that makes it one (none for sampled words): that window and the gram settle it.
+    """
     sampled = F.filter(F.transform(h, lambda x, i: F.when(x.bitwiseAND(F.lit(SAMPLED - 1)) == 0, i)), lambda i: i.isNotNull())
     bounds = F.concat(F.array(F.lit(-1)), sampled, F.array(F.size(h)))
 
-    def between(x: Column, b: Column, k: Column) -> Column:
-        """Sampled word x, then those after it whose windows end before the next one."""
-        to = F.get(b, k + 1) - WINDOW_WORDS
-        return F.when(x < to, F.sequence(x, to)).otherwise(F.array(x))
+    def code(at: Column, back: Column) -> Column:
+        return F.shiftleft(at.cast("long"), 5).bitwiseOR(back.cast("long"))
 
-    every = F.flatten(_bind(bounds, lambda b: F.transform(b, lambda x, k: between(x, b, k))))
-    return F.filter(every, lambda i: (i >= 0) & (i <= F.size(h) - GRAM_WORDS))
+    def least(i: Column) -> Column:
+        """The code of the first of the least words of the window from word i on."""
+        return _bind(F.slice(h, i + 1, WINDOW), lambda w: _bind(F.array_position(w, F.array_min(w)) - 1, lambda at: code(i + at, at)))
+
+    def last(codes: Column) -> Column:
+        """Of the codes of one word, in windows that follow each other, the last."""
+        return F.filter(codes, lambda c, k: F.coalesce(_at(F.get(codes, k + 1)) != _at(c), F.lit(True)))
+
+    def from_(x: Column, b: Column, k: Column) -> Column:
+        """Sampled word x, then those of windows that begin after it and end before the next one."""
+        to, own = F.get(b, k + 1) - WINDOW, F.array(code(x, F.lit(0)))
+        return F.when(x < to, F.concat(own, _bind(F.transform(F.sequence(x + 1, to), least), last))).otherwise(own)
+
+    every = F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, k: from_(x, b, k))))
+    return F.filter(every, lambda c: (c >= 0) & (_at(c) <= F.size(h) - GRAM))
 
 
 def _grams(hashes: Column) -> Column:
-    """(at, hash) of the gram of each fingerprint, from 0; null for fewer than RUN_WORDS words."""
-    return _bind(hashes, lambda h: F.when(F.size(h) >= RUN_WORDS, F.transform(_prints(h), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, GRAM_WORDS)).alias("g")))))
+    """(code, hash) of the gram of each fingerprint; null for fewer than RUN_WORDS words."""
+    return _bind(hashes, lambda h: F.when(F.size(h) >= RUN_WORDS, F.transform(_prints(h), lambda c: F.struct(c.alias("code"), F.xxhash64(F.slice(h, _at(c) + 1, GRAM)).alias("g")))))
+
+
+def _linked(df: DataFrame, key: str, at: str, place: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(row, at, way, again) of the positions (row, at) of each key; ``place`` gives the word that ``at`` stands for.
+
+    way: a hash of an earlier position of the key, by its row and its distance from this one, null
+    if there is none; again: whether there is a later one.  Positions meet under a salt of their
+    row; then the first of each salt, in a window of their own.
+    """
+    salt = F.pmod(F.xxhash64(F.col("row"), F.lit(7)), F.lit(SALTS)).cast("int")
 
+    def way(order: Window) -> Column:
+        return F.when(F.lag("row").over(order).isNotNull(), F.xxhash64(F.lag("row").over(order), place(F.col(at)) - place(F.lag(at).over(order))))
 
-def _runs(hashes: Column, at: Column) -> Column:
-    """(first word, hash) of each run whose grams all occur elsewhere too, at the words ``at``."""
+    within = Window.partitionBy(key, "salt").orderBy("row", at)
+    near = df.withColumn("salt", salt).withColumn("way", way(within)).withColumn("again", F.lead("row").over(within).isNotNull())
+    across = Window.partitionBy(key, "salt").orderBy("row", at)
+    near = near.withColumn("salt", F.when(F.col("way").isNull(), -1).otherwise(F.col("salt")))
+    return near.select("row", at, F.coalesce("way", way(across)).alias("way"), (F.col("again") | ((F.col("salt") == -1) & F.lead("row").over(across).isNotNull())).alias("again"))
+
+
+def _chains(prints: Column) -> Column:
+    """(a, b) of words a to b - 1 that chains of ``prints`` (code, way) prove to repeat, in order."""
+
+    def follows(p: Column, k: Column) -> Column:
+        """Whether print k extends the match of the one before it."""
+        x, y = F.get(p, k - 1), F.get(p, k)
+        return F.coalesce((x["way"] == y["way"]) & (_at(y["code"]) - _at(x["code"]) <= GRAM), F.lit(False))
+
+    def of(p: Column) -> Column:
+        begins = F.filter(F.transform(p, lambda x, k: F.when(x["way"].isNotNull() & ((k == 0) | ~follows(p, k)), k)), lambda k: k.isNotNull())
+        ends = F.filter(F.transform(p, lambda x, k: F.when(x["way"].isNotNull() & ((k == F.size(p) - 1) | ~follows(p, k + 1)), k)), lambda k: k.isNotNull())
+        found = F.zip_with(begins, ends, lambda i, j: F.struct(_at(F.get(p, i)["code"]).alias("a"), (_at(F.get(p, j)["code"]) + GRAM).alias("b")))
+        return F.filter(found, lambda c: c["b"] - c["a"] >= RUN_WORDS)
+
+    return _bind(prints, of)
+
+
+def _runs(hashes: Column, codes: Column, chains: Column) -> Column:
+    """(first word, hash) of each run whose own fingerprints all occur elsewhere too, by ``codes``, and that isn't inside a chain."""
 
     def starts(single: Column, n: Column) -> Column:
-        """First words of runs with no gram in ``single``."""
-        reach = RUN_WORDS - GRAM_WORDS + 1
-        bounds = F.concat(F.array(F.lit(-1)), single, F.array(n - GRAM_WORDS + 1))
-        return F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 2, F.size(b)), lambda x, k: F.when(x - reach > F.get(b, k), F.sequence(F.get(b, k) + 1, x - reach)).otherwise(F.array().cast("array<int>")))))
+        """First words of runs: those from which no word of ``single`` is a fingerprint for the run's own words."""
+        reach, end = RUN_WORDS - GRAM + 1, F.shiftleft((n - GRAM + 1).cast("long"), 5)
+        bounds = F.concat(F.array(F.lit(-32).cast("long")), single, F.array(end))
 
-    def of(h: Column) -> Column:
-        return F.transform(starts(F.array_except(_prints(h), at), F.size(h)), lambda i: F.struct(i.alias("first"), F.xxhash64(F.slice(h, i + 1, RUN_WORDS)).alias("r")))
+        def between(x: Column, b: Column, k: Column) -> Column:
+            free = F.get(b, k)
+            free = _at(free) - free.bitwiseAND(F.lit(31)).cast("int") + 1
+            return F.when(_at(x) - reach >= free, F.sequence(free, _at(x) - reach)).otherwise(F.array().cast("array<int>"))
 
-    return _bind(hashes, of)
+        return F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 2, F.size(b)), lambda x, k: between(x, b, k))))
 
+    def of(h: Column) -> Column:
+        inside = F.flatten(F.transform(chains, lambda c: F.sequence(c["a"], c["b"] - RUN_WORDS)))
+        return F.transform(F.array_except(starts(F.array_except(_prints(h), codes), F.size(h)), inside), lambda i: F.struct(i.alias("first"), F.xxhash64(F.slice(h, i + 1, RUN_WORDS)).alias("r")))
 
-def _later(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The rows but the first of each key."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("n > 1").drop("n")
+    return _bind(hashes, of)
 
 
-def _marked(keyed: DataFrame, store: Store) -> DataFrame:
-    """The table with __at: the words at which grams begin that occur elsewhere too."""
-    prints = keyed.where("text is not null").select(F.col(_ROW).alias("row"), F.inline(_grams(_hashes(F.col("text")))))
-    by = Window.partitionBy("g").orderBy("row", "at")
-    shared = prints.select("row", "at", (F.lag("g").over(by).isNotNull() | F.lead("g").over(by).isNotNull()).alias("shared")).where("shared")
-    places = shared.groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("at").alias("__at"))
-    return _put(store, keyed.join(places, _ROW, "left"), "marked")
+def marked(rows: DataFrame, store: Store) -> DataFrame:
+    """The table with codes of the fingerprints whose grams occur elsewhere too, and chains; null for none."""
+    prints = rows.where("text is not null").select("row", F.inline(_grams(_hashes(F.col("text")))))
+    shared = _linked(prints, "g", "code", _at).where("way is not null or again")
+    places = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("code", "way"))).alias("p"))
+    places = places.select("row", F.transform("p", lambda x: x["code"]).alias("codes"), _chains(F.col("p")).alias("chains"))
+    return _put(store, rows.join(places, "row", "left"), "marked")
 
 
-def repeated_runs(marked: DataFrame) -> DataFrame:
-    """(row, first): first words, from 0, of runs of RUN_WORDS words that occur in an earlier place."""
-    runs = marked.where("__at is not null").select(F.col(_ROW).alias("row"), F.inline(_runs(_hashes(F.col("text")), F.col("__at"))))
-    return _later(runs, "r", "row", "first").select("row", "first")
+def repeated(found: DataFrame, store: Store) -> DataFrame:
+    """(row, a, b): words a to b - 1 of a row occur in earlier places; of a marked table."""
+    some = found.where("codes is not null")
+    runs = some.select("row", F.inline(_runs(_hashes(F.col("text")), F.col("codes"), F.col("chains"))))
+    later = _linked(runs, "r", "first").where("way is not null")
+    chains = some.select("row", F.inline("chains"))
+    return _put(store, later.select("row", F.col("first").alias("a"), (F.col("first") + RUN_WORDS).alias("b")), "runs").unionAll(chains)
 
 
-def _cuts(runs: DataFrame) -> DataFrame:
-    """(row, cuts): overlapping and adjoining runs as one (a, b), words a to b - 1, in order."""
-    order = Window.partitionBy("row").orderBy("first")
-    begins = F.coalesce(F.col("first") - F.lag("first").over(order) > RUN_WORDS, F.lit(True))
-    pieces = runs.withColumn("begins", begins.cast("int")).withColumn("cut", F.sum("begins").over(order))
-    pieces = pieces.groupBy("row", "cut").agg(F.min("first").alias("a"), (F.max("first") + RUN_WORDS).alias("b"))
-    return pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts"))
+def _cuts(spans: DataFrame) -> DataFrame:
+    """(row, cuts): overlapping and adjoining spans as one (a, b), words a to b - 1, in order."""
+    order = Window.partitionBy("row").orderBy("a", "b")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = spans.withColumn("begins", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("cut", F.sum("begins").over(order))
+    pieces = pieces.groupBy("row", "cut").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
 
 def _without(text: Column, cuts: Column) -> Column:
@@ -153,15 +233,15 @@ def _without(text: Column, cuts: Column) -> Column:
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with later repeated runs deleted from text; adds n_lines_removed, by how many lines the text is shorter."""
     store = Store(docs.sparkSession, "passages")
-    marked = _marked(_keyed(docs, store), store)
-    cuts = _put(store, _cuts(repeated_runs(marked)), "cuts").withColumnRenamed("row", _ROW)
-    whole = marked.where("__at is null").withColumn("__cuts", F.lit(None).cast(cuts.schema["__cuts"].dataType))
-    out = whole.unionByName(marked.where("__at is not null").join(cuts, _ROW, "left"))
-    out = out.withColumn("__left", F.when(F.col("__cuts").isNotNull(), _without(F.col("text"), F.col("__cuts"))))
+    found = marked(keyed(docs, store), store)
+    cuts = _put(store, _cuts(repeated(found, store)), "cuts")
+    whole = found.where("codes is null").select("doc", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    out = whole.unionByName(found.where("codes is not null").join(cuts, "row", "left").select("doc", "text", "cuts"))
+    out = out.withColumn("left", F.when(F.col("cuts").isNotNull(), _without(F.col("text"), F.col("cuts"))))
 
     def lines(text: Column) -> Column:
         return F.when(text != "", F.regexp_count(text, F.lit("\n")) + 1).otherwise(0)
 
-    fixed = F.coalesce("__left", "text")
-    removed = F.when(F.col("__cuts").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("__left"))).cast("int").alias("n_lines_removed")
-    return out.select(*(fixed.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_lines_removed"), removed)
+    fixed = F.coalesce("left", "text")
+    removed = F.when(F.col("cuts").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("left"))).cast("int").alias("n_lines_removed")
+    return out.select(*(fixed.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c != "n_lines_removed"), removed)
