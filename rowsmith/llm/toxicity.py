@@ -1,14 +1,17 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Tokens are runs of letters and digits; each line of a text is one chain with the tags O
-(other) and T (toxic).  A token's features are hashes of the word and of its prefixes.
+(other) and T (toxic).  A token's features are hashes of the word, of its prefixes and of the
+word with the one before it, and whether the token before or after it has any such feature.
 
 Fit, on at most ``SAMPLE`` labelled rows of each class (least hash first) of at most
-``SAMPLE_BYTES`` bytes each: features that cover toxic documents and no, or hardly any,
-clean ones are chosen greedily until nothing covers further documents; tokens of toxic
-documents that carry one are labelled T, all others O.  The field's weights and transitions
-then maximise the penalised likelihood of these labelled tokens, with expectations
-by forward-backward, and a logistic curve maps a document's evidence to a probability.
+``SAMPLE_BYTES`` bytes each.  Labels mark documents, not tokens, so tags are hidden: a toxic
+document has some T, a clean one none.  Features whose share among toxic documents is
+significantly greater (a G test) are kept; from half their log-odds on, which the penalty draws
+to, weights and transitions then ascend the penalised likelihood of the documents' labels.  Forward-backward gives its gradient: the tags' expected
+counts in clean documents are pushed down, and those of toxic documents move towards
+their expectations given that some token is toxic, which re-estimates tags at every step.
+A logistic curve maps a document's evidence to a probability.
 
 Score: every token of every whole text takes part.  Forward-backward gives marginals;
 chains without any known feature share a closed table by length.  The document's
@@ -16,7 +19,10 @@ evidence is the probability that any of its tokens is toxic, its offending offse
 runs of tokens with a marginal of one half or more.
 
 Defined cases: null and empty texts have no token and get the score of no evidence;
-without labelled rows of both classes every score is 0; repeated rows score alike.
+without labelled rows of both classes every score is 0, without any telling feature it is the share of
+toxic labels; repeated rows score alike; a doc_id with labels of both kinds counts as both, and
+of several texts of one id each is a row of the sample; very long texts are scored whole, in
+chunks of whole texts; of extra columns :func:`drop_toxic` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,17 +37,20 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm import _kernels as K
 
-SAMPLE, SAMPLE_BYTES, FEATURES = 3000, 50_000, 4096
+SAMPLE, SAMPLE_BYTES, FEATURES = 3000, 50_000, 2048
 PREFIXES = (4, 5, 6, 8)
-#: Chains of labelled tokens are cut to this length for the fit alone.
-CHAIN = 128
-STEPS, RATE, RIDGE = 40, 0.3, 1e-3
+#: Chains are cut into pieces of this length for the fit alone; no token is left out.
+CHAIN = 64
+STEPS, RATE, RIDGE = 60, 0.25, 0.1
+#: Features are kept from this value of the G statistic on, and this many times as frequent in toxic documents.
+TELLING, TIMES = 16.0, 5.0
 THRESHOLD = 0.5
 _TABLE = 20
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, features[n, kinds], chain number): tokens in order; chains are lines within texts."""
+    data = _folded(data)
     starts, ends, whole, _ = K.words(data, offsets, separators="symbols")
     summed = K.prefix_sums(data)
     kinds = [whole]
@@ -52,12 +61,27 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.add.at(breaks, offsets[:-1], 1)
     breaks[1:][data == 10] += 1
     chain = np.cumsum(breaks)[starts] if len(starts) else np.empty(0, np.int64)
-    return starts, ends, np.stack(kinds, 1) if len(starts) else np.empty((0, 1 + len(PREFIXES)), np.uint64), chain
+    if not len(starts):
+        return starts, ends, np.empty((0, 2 + len(PREFIXES)), np.uint64), chain
+    before = np.concatenate((whole[:1], whole[:-1]))
+    kinds.append(np.where(np.concatenate(([False], chain[1:] == chain[:-1])), K.mix(before * np.uint64(0x9E3779B97F4A7C15) ^ whole), whole))
+    return starts, ends, np.stack(kinds, 1), chain
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with the capitals of Latin-1 (C3 80 to C3 9E) as small letters; A-Z are folded with the hashes."""
+    lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+    lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
+    if not len(lead):
+        return data
+    data = data.copy()
+    data[lead] += 0x20
+    return data
 
 
 @dataclass
 class Field:
-    """hashes (sorted) and weights of features; bias and transitions O-T, T-O, T-T (O-O is 0); the final curve."""
+    """hashes (sorted); weights of features, of the token before having one, of the token after, and the bias; transitions O-T, T-O, T-T (O-O is 0); the final curve."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -78,10 +102,19 @@ class Field:
         return maybe[good] // features.shape[1], at[good]
 
 
-def forward_backward(node: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _around(token: np.ndarray, known: np.ndarray, chain: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (token, feature number) with those of neighbours in the chain: feature f of the token before is n + f, after 2n + f."""
+    after, before = token + 1, token - 1
+    x = (after < len(chain)) & (chain[np.minimum(after, len(chain) - 1)] == chain[token])
+    y = (before >= 0) & (chain[np.maximum(before, 0)] == chain[token])
+    return np.concatenate([token, after[x], before[y]]), np.concatenate([known, known[x] + n, known[y] + 2 * n])
+
+
+def forward_backward(node: np.ndarray, length: np.ndarray, moves: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log of Z over the all-O score, marginals of T, expected counts of O-T, T-O, T-T) of padded chains.
 
     node[i, t]: log-odds of T at place t of chain i, moves: the three transition weights.
+    The counts are of all chains together, or of ``each``.
     """
     n, width = node.shape
     enter, leave, stay = moves
@@ -98,7 +131,7 @@ def forward_backward(node: np.ndarray, length: np.ndarray, moves: np.ndarray) ->
     log_z += np.logaddexp(0.0, r)
     back = np.zeros_like(node)
     b = np.zeros(n)
-    counts = np.zeros(3)
+    counts = np.zeros((n, 3))
     for t in range(width - 2, -1, -1):
         alive = t + 1 < length
         x = node[:, t + 1] + b
@@ -106,11 +139,11 @@ def forward_backward(node: np.ndarray, length: np.ndarray, moves: np.ndarray) ->
             f, y = forward[alive, t], x[alive]
             scores = np.stack([np.zeros_like(f), y + enter, f + leave, f + y + stay])
             p = np.exp(scores - np.logaddexp.reduce(scores, 0))
-            counts += p[1:].sum(1)
+            counts[alive] += p[1:].T
         b = np.where(alive, np.logaddexp(leave, x + stay) - np.logaddexp(0.0, x + enter), 0.0)
         back[:, t] = b
     inside = np.arange(width) < length[:, None]
-    return log_z, np.where(inside, 1 / (1 + np.exp(-np.clip(forward + back, -700, 700))), 0.0), counts
+    return log_z, np.where(inside, 1 / (1 + np.exp(-np.clip(forward + back, -700, 700))), 0.0), counts if each else counts.sum(0)
 
 
 def _padded(node: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -146,7 +179,7 @@ def score_texts(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     spans: list[list[tuple[int, int, float]]] = [[] for _ in range(texts)]
     quiet = np.zeros(texts)  # log of the probability that no token is toxic
     if len(starts):
-        token, known = field.find(features)
+        token, known = _around(*field.find(features), chain, len(field.hashes))
         node = np.full(len(starts), field.weights[-1])
         np.add.at(node, token, field.weights[known])
         first, length = _chains(chain)
@@ -196,112 +229,102 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _choose(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate hashes, chosen ones among them): greedy cover of toxic documents.
+    """(hashes, log-odds) of at most FEATURES telling features, by hash.
 
     Only toxic documents' features are kept; clean documents are counted as they pass.
     """
 
-    def distinct(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def distinct(rows: np.ndarray) -> Iterator[np.ndarray]:
         """Each text's distinct features."""
         for lo in range(0, len(rows), 100):
             part = [texts[i] for i in rows[lo : lo + 100]]
             offsets = np.cumsum([0, *map(len, part)])
             starts, _, features, _ = tokens(np.frombuffer(b"".join(part), np.uint8), offsets)
             bounds = np.searchsorted(starts, offsets)
-            for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                yield int(rows[lo + k]), np.unique(features[x:y])
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                yield np.unique(features[x:y])
 
-    found = list(distinct(np.flatnonzero(toxic)))
-    hashes, count = np.unique(np.concatenate([u for _, u in found]), return_counts=True)
+    hashes, count = np.unique(np.concatenate(list(distinct(np.flatnonzero(toxic)))), return_counts=True)
     hashes, count = hashes[count >= 2], count[count >= 2]
-
-    def places(u: np.ndarray) -> np.ndarray:
+    clean = np.zeros(len(hashes))
+    for u in distinct(np.flatnonzero(~toxic)):
         at = np.minimum(np.searchsorted(hashes, u), max(0, len(hashes) - 1))
-        return at[hashes[at] == u] if len(hashes) else at[:0]
+        clean[at[hashes[at] == u] if len(hashes) else at[:0]] += 1
+    n, m = int(toxic.sum()), int((~toxic).sum())
+    share = (count + clean) / (n + m)
 
-    feature = [places(u) for _, u in found]
-    doc = np.repeat([i for i, _ in found], [len(f) for f in feature])
-    feature = np.concatenate(feature)
-    del found
-    clean = np.zeros(len(hashes))
-    for _, u in distinct(np.flatnonzero(~toxic)):
-        clean[places(u)] += 1
-    pure = clean <= 0.02 * count
-    doc, feature = doc[pure[feature]], feature[pure[feature]]
-    n_toxic = int(toxic.sum())
-    open_, chosen = np.ones(len(toxic), bool), []
-    least = max(2, n_toxic // 400)
-    while len(chosen) < FEATURES // 4 and len(feature):
-        gain = np.bincount(feature, minlength=len(hashes))
-        # Of equal cover the feature seen most often in all, then the first.
-        best = int(np.argmax(gain + count / (2.0 * count.max() + 1)))
-        if gain[best] < least:
-            break
-        chosen.append(best)
-        open_[doc[feature == best]] = False
-        keep = open_[doc]
-        doc, feature = doc[keep], feature[keep]
-    # Also near-equals of the chosen: pure and as frequent as chance can't explain.
-    strong = np.flatnonzero(pure & (count >= max(8, n_toxic // 50)))
-    keep = np.unique(np.concatenate([np.array(chosen, np.int64), strong[np.argsort(-count[strong], kind="stable")][: FEATURES // 2]]))
-    return hashes[keep], hashes[np.array(sorted(set(chosen) | set(strong.tolist()) & set(keep.tolist())), np.int64)] if len(keep) else hashes[:0]
+    def part(seen: np.ndarray, rows: int) -> np.ndarray:
+        """A class's part of the G statistic."""
+        rest = rows - seen
+        return seen * np.log(np.maximum(seen, 1e-300) / (rows * share)) + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(rows * (1 - share), 1e-300))
+
+    g = 2 * (part(count.astype(float), n) + part(clean, m))
+    odds = np.log((count + 0.5) / (n + 1)) - np.log((clean + 0.5) / (m + 1))
+    keep = np.flatnonzero((g >= TELLING) & (odds >= np.log(TIMES)))
+    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")][:FEATURES])
+    return hashes[keep], odds[keep]
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, prior: float) -> Field | None:
     """The field of labelled texts; prior: the share of toxic rows among all labelled."""
     if not toxic.any() or toxic.all():
         return None
-    hashes, tagged = _choose(texts, toxic)
-    field = Field(hashes, np.concatenate([np.full(len(hashes), 2.0), [-6.0]]), np.array([0.0, 0.0, 0.0]), (1.0, 0.0))
-    tag_field = Field(tagged, np.zeros(len(tagged) + 1), np.zeros(3), (1.0, 0.0))
-    # Labelled chains: all with a known feature, and one chain without in each document.
-    nodes, tags, firsts, lengths, pairs, base = [], [], [], [], [], 0
+    hashes, odds = _choose(texts, toxic)
+    n = len(hashes)
+    if not n:
+        return Field(hashes, np.array([-6.0]), np.zeros(3), (0.0, float(np.log(prior / (1 - prior)))))
+    field = Field(hashes, np.zeros(3 * n + 1), np.zeros(3), (1.0, 0.0))
+    # Pieces of chains: those with a feature token by token, the others by length (doc, length).
+    lengths, owners, pairs, plain, base = [], [], [], [], 0
     for lo in range(0, len(texts), 200):
         part = texts[lo : lo + 200]
         offsets = np.cumsum([0, *map(len, part)])
         starts, _, features, chain = tokens(np.frombuffer(b"".join(part), np.uint8), offsets)
         if not len(starts):
             continue
-        token, known = field.find(features)
+        token, known = _around(*field.find(features), chain, n)
         first, length = _chains(chain)
         place = np.arange(len(starts)) - np.repeat(first, length)
         first, length = _chains(np.cumsum(place % CHAIN == 0))
-        owner = np.searchsorted(offsets, starts[first], side="right") - 1
-        keep = np.zeros(len(first), bool)
-        keep[np.searchsorted(first, token, side="right") - 1] = True
-        keep[np.unique(owner, return_index=True)[1]] = True
-        tag = np.zeros(len(starts), bool)
-        tag[tag_field.find(features)[0]] = True
-        tag &= toxic[lo + np.searchsorted(offsets, starts, side="right") - 1]
-        kept_tokens = np.repeat(keep, length)
-        renumber = np.cumsum(kept_tokens) - 1 + base
-        good = kept_tokens[token]
-        pairs.append(np.stack([renumber[token[good]], known[good]]))
-        tags.append(tag[kept_tokens])
-        lengths.append(length[keep])
-        base += int(kept_tokens.sum())
-    tag, length, (token, known) = np.concatenate(tags), np.concatenate(lengths), np.concatenate(pairs, axis=1)
-    first = np.cumsum(length) - length
-    size = len(hashes) + 1
-    seen = np.append(np.bincount(known, weights=tag[token], minlength=size - 1), tag.sum())
-    same = np.ones(len(tag), bool)
-    same[first] = False
-    before = np.concatenate(([False], tag[:-1]))
-    moved = np.array([(same & ~before & tag).sum(), (same & before & ~tag).sum(), (same & before & tag).sum()], float)
-    groups = list(_groups(length))
-    state = np.concatenate([field.weights, field.moves])
-    scale = np.maximum(1.0, np.append(np.append(np.bincount(known, minlength=size - 1), len(tag) ** 0.5 * 10), [tag.sum() + 1] * 3))
+        owner = lo + np.searchsorted(offsets, starts[first], side="right") - 1
+        loud = np.zeros(len(first), bool)
+        loud[np.searchsorted(first, token, side="right") - 1] = True
+        plain.append(np.stack([owner[~loud], length[~loud]]))
+        renumber = np.cumsum(np.repeat(loud, length)) - 1 + base
+        pairs.append(np.stack([renumber[token], known]))
+        lengths.append(length[loud])
+        owners.append(owner[loud])
+        base += int(length[loud].sum())
+    length, owner, (token, known), plain = np.concatenate(lengths), np.concatenate(owners), np.concatenate(pairs, axis=1), np.concatenate(plain, axis=1)
+    first, size = np.cumsum(length) - length, 3 * n + 1
+    groups = list(_groups(length, 100_000))
+    kinds, kind = np.unique(plain[1], return_inverse=True)
+    weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean())) / len(texts)
+    prior_mean = np.concatenate([np.clip(odds, 0.0, 4.0) / 2, np.zeros(2 * n), [-7.0], np.zeros(3)])
+    state = prior_mean.copy()
     m, v = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, STEPS + 1):
-        node = np.full(len(tag), state[size - 1])
+        node = np.full(base, state[size - 1])
         np.add.at(node, token, state[known])
-        expected, counts = np.empty(len(tag)), np.zeros(3)
+        log_z, expected, counts = np.empty(len(length)), np.empty(base), np.empty((len(length), 3))
         for g in groups:
-            _, marginal, c = forward_backward(_padded(node, first[g], length[g]), length[g], state[size:])
+            log_z[g], marginal, counts[g] = forward_backward(_padded(node, first[g], length[g]), length[g], state[size:], each=True)
             inside = np.arange(marginal.shape[1]) < length[g][:, None]
             expected[(first[g][:, None] + np.arange(marginal.shape[1]))[inside]] = marginal[inside]
-            counts += c
-        grad = np.concatenate([seen - np.append(np.bincount(known, weights=expected[token], minlength=size - 1), expected.sum()), moved - counts]) / scale - RIDGE * state
+        quiet = -np.bincount(owner, weights=log_z, minlength=len(texts))
+        if len(kinds):
+            z, marginal, moved = forward_backward(np.full((len(kinds), int(kinds.max())), state[size - 1]), kinds, state[size:], each=True)
+            quiet -= np.bincount(plain[0], weights=z[kind], minlength=len(texts))
+        # The weight of a document's expected counts in the gradient: down where clean, towards "some" where toxic.
+        some = np.exp(np.minimum(quiet, -1e-9))
+        pull = weight * np.where(toxic, some / (1 - some), -1.0)
+        each = expected * np.repeat(pull[owner], length)
+        grad = np.concatenate([np.bincount(known, weights=each[token], minlength=size - 1), [each.sum()], (counts * pull[owner][:, None]).sum(0)])
+        if len(kinds):
+            by = np.bincount(kind, weights=pull[plain[0]], minlength=len(kinds))
+            grad[size - 1] += by @ marginal.sum(1)
+            grad[size:] += by @ moved
+        grad -= RIDGE / len(texts) ** 0.5 * (state - prior_mean)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         state = state + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field = Field(hashes, state[:size], state[size:], (1.0, 0.0))

@@ -103,3 +103,55 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert tx.train(docs, labels) is None
     assert [(r.score, r.predicted) for r in tx.toxicity(docs, None).collect()] == [(0.0, 0)]
+
+
+def test_fit_without_tokens_or_telling_features(spark):
+    assert tx.fit([b"!!!", b"???"], np.array([True, False]), 0.5).hashes.size == 0
+    docs = spark.createDataFrame([(1, "!!!"), (2, "???"), (3, None), (4, "word")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in (1, 2, 3, 4)], "doc_id long, toxic int")
+    out = tx.toxicity(docs, tx.train(docs, labels)).collect()
+    assert len(out) == 4 and len({r.score for r in out}) == 1 and not any(r.spans for r in out)
+
+
+def test_gradient_of_the_documents_likelihood():
+    """The expected counts, weighted as in the fit, are the derivative of the labels' likelihood."""
+    rng = np.random.default_rng(3)
+    length = np.array([3, 5, 2, 4])
+    owner, toxic = np.array([0, 0, 1, 2]), np.array([True, False, True])
+    inside = np.arange(5) < length[:, None]
+    node = np.where(inside, rng.normal(-1, 1, (4, 5)), 0.0)
+    moves = np.array([0.4, -0.6, 0.9])
+
+    def likelihood(node, moves):
+        quiet = -np.bincount(owner, weights=tx.forward_backward(node, length, moves)[0], minlength=3)
+        return np.where(toxic, np.log(-np.expm1(quiet)), quiet).sum()
+
+    log_z, marginal, counts = tx.forward_backward(node, length, moves, each=True)
+    some = np.exp(-np.bincount(owner, weights=log_z, minlength=3))
+    pull = np.where(toxic, some / (1 - some), -1.0)[owner]
+    for i, t in ((0, 0), (1, 4), (2, 1), (3, 2)):
+        d = np.zeros_like(node)
+        d[i, t] = 1e-5
+        assert np.isclose((likelihood(node + d, moves) - likelihood(node - d, moves)) / 2e-5, pull[i] * marginal[i, t], rtol=1e-4)
+    for j in range(3):
+        d = 1e-5 * np.eye(3)[j]
+        assert np.isclose((likelihood(node, moves + d) - likelihood(node, moves - d)) / 2e-5, (pull * counts[:, j]).sum(), rtol=1e-4)
+
+
+def test_phrases_that_no_single_word_tells():
+    """Toxic where two harmless words meet: only the pair's feature tells, and the span may hold both."""
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(60)] + ["green", "frog"] * 8
+    rows = []
+    for i in range(900):
+        words = " ".join(rnd.choices(vocabulary, k=40)).replace("green frog", "green").split()
+        toxic = i % 4 == 0
+        if toxic:
+            at = rnd.randint(0, len(words))
+            words[at:at] = ["green", "frog"]
+        rows.append((" ".join(words), toxic))
+    model = tx.fit([t.encode() for t, _ in rows[:600]], np.array([x for _, x in rows[:600]]), 0.25)
+    p, spans = score(model, [t for t, _ in rows[600:]])
+    toxic = np.array([x for _, x in rows[600:]])
+    assert ((p >= 0.5) == toxic).mean() > 0.95  # without a pair: 0.75
+    assert sum("frog" in t[a:b] for (t, _), s in zip(rows[600:], spans) for a, b, _ in s) >= 0.9 * toxic.sum()
