@@ -49,3 +49,56 @@ def test_query_over_pages(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 499_999), (1, 34), (1, 34), (2, 0), (3, 0)]
     assert all(r.n_chars == len(r.text) for r in got)
     assert ht.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ('<article><p title="a hidden gem">Body text</p></article>', "Body text"),
+        ('<div data-hidden="false"><p>Body</p></div>', "Body"),
+        ('<div data-id="comment-5"><p>Body is here</p></div>', "Body is here"),
+        ('<div class="no-sidebar"><p>Body</p></div>', "Body"),
+        ('<div class="content-with-sidebar"><article><p>Body</p></article><div class="sidebar"><p>side</p></div></div>', "Body"),
+        ('<article class="post has-sidebar"><p>Body</p></article>', "Body"),
+        ('<article class="hentry comments-open"><p>Body</p></article>', "Body"),
+        ('<form id="aspnetForm"><div><p>Body of the page is long</p></div><div class="footer">f</div></form>', "Body of the page is long"),
+        ('<article><p>Body</p></article><div class="replies"><article class="comment"><p>nice</p></article></div>', "Body"),
+        ('<div id="main"><p>Body</p><ul><li class="ad"><p>buy</p></li><li>item of the list</li></ul></div>', "Body\nitem of the list"),
+        ('<p hidden>no</p><div style="display: none">no</div><p>yes</p>', "yes"),
+    ],
+)
+def test_names_of_elements(source, expected):
+    assert ht.extract(source, WEIGHTS) == ht.extract(source, ht.Weights()) == expected
+
+
+def test_scan_leaves_out_text_that_stands_apart():
+    links = "".join(f"<li><a href=x>link {i} to there</a></li>" for i in range(30))
+    page = f"<p>Stray words.</p><ul>{links}</ul><div><p>{'The story goes on. ' * 20}</p><p>It ends.</p></div><ul>{links}</ul><p>More strays.</p>"
+    for weights in (WEIGHTS, ht.Weights()):
+        text = ht.extract(page, weights)
+        assert text.startswith("The story") and text.endswith("It ends.")
+
+
+def test_weights_are_learned():
+    """A class that no prior knows is furniture where labelled pages have it outside of their content."""
+    pages = [f'<div class="zork">buy {i} now and here</div><article><p>{"word " * 30}</p><div class="quux">more</div></article>' for i in range(40)]
+    page = '<div class="zork"><p>buy it now</p></div><div class="quux"><p>the text of it</p></div>'
+    assert ht.extract(page, ht.Weights()) == "buy it now\nthe text of it"
+    assert ht.extract(page, ht.learn(pages)) == "the text of it"
+
+
+def test_names_hidden_from_generated_pages():
+    """Text found where the labels are taken away, held against the text as generated: precision and recall of words."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(300)]
+
+    def page(named):
+        blocks = [" ".join(rnd.choices(words, k=rnd.randint(3, 60))) for _ in range(rnd.randint(1, 8))]
+        nav = "".join(f"<li><a href=x>{rnd.choice(words)}</a></li>" for _ in range(rnd.randint(2, 12)))
+        tag = "article" if named else "div"
+        return f"<body><nav><ul>{nav}</ul></nav><{tag}>{''.join(f'<p>{b}</p>' for b in blocks)}</{tag}><footer>{rnd.choice(words)} x</footer>", "\n".join(blocks)
+
+    weights = ht.learn([page(True)[0] for _ in range(100)])
+    made = [page(False) for _ in range(100)]
+    assert sum(ht.extract(h, weights) == t for h, t in made) >= 99
+    assert all(ht.extract(h, weights) == t for h, t in [page(True) for _ in range(100)])
