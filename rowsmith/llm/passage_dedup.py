@@ -1,9 +1,10 @@
 """Deduplication of repeated passages by winnowing over word hashes, in DataFrame operations only.
 
 A document is its sequence of words ``\\S+``; line feeds are white space like any other, so a
-passage is found wherever in a line it begins or ends.  Fingerprints are the words that a hash
-samples, and the least word of every window of ``WINDOW`` words without a sampled one; a
-fingerprint's gram is the ``GRAM`` words from it on.  All depend only on the words
+passage is found wherever in a line it begins or ends.  Fingerprints are the words that
+every window of ``WINDOW`` words ranks first: those that a hash samples, in windows without one those
+that it samples second, and the first word of windows without either; a fingerprint's gram is the
+``GRAM`` words from it on.  All depend only on the words
 themselves, so every run of ``RUN_WORDS`` (50) words has a gram within, the same in each copy.
 
 Positions of equal grams are joined: each learns an earlier position, where there is one.  Grams
@@ -43,7 +44,7 @@ from rowsmith.llm._store import Store
 
 RUN_WORDS, GRAM, WINDOW = 50, 26, 25
 #: One word in so many is sampled by its hash.
-SAMPLED = 16
+SAMPLED = 8
 #: Windows over which positions of one gram or run are spread.
 SALTS = 32
 
@@ -82,7 +83,7 @@ def _at(code: Column) -> Column:
 
 
 def _prints(h: Column) -> Column:
-    """Codes of the fingerprints, in order: sampled words, and the first least one of each window without.
+    """Codes of the fingerprints, in order: sampled words, those of a second sample in windows without, and the first word of windows without either.
 
     A code holds the word's number and, below, how many words before it the last window
     begins that makes it one (none for sampled words): that window and the gram settle it.
@@ -93,18 +94,17 @@ def _prints(h: Column) -> Column:
     def code(at: Column, back: Column) -> Column:
         return F.shiftleft(at.cast("long"), 5).bitwiseOR(back.cast("long"))
 
-    def least(i: Column) -> Column:
-        """The code of the first of the least words of the window from word i on."""
-        return _bind(F.slice(h, i + 1, WINDOW), lambda w: _bind(F.array_position(w, F.array_min(w)) - 1, lambda at: code(i + at, at)))
-
-    def last(codes: Column) -> Column:
-        """Of the codes of one word, in windows that follow each other, the last."""
-        return F.filter(codes, lambda c, k: F.coalesce(_at(F.get(codes, k + 1)) != _at(c), F.lit(True)))
-
     def from_(x: Column, b: Column, k: Column) -> Column:
         """Sampled word x, then those of windows that begin after it and end before the next one."""
-        to, own = F.get(b, k + 1) - WINDOW, F.array(code(x, F.lit(0)))
-        return F.when(x < to, F.concat(own, _bind(F.transform(F.sequence(x + 1, to), least), last))).otherwise(own)
+        end, own = F.get(b, k + 1), F.array(code(x, F.lit(0)))
+        again = F.filter(F.sequence(x + 1, end - 1), lambda i: F.get(h, i).bitwiseAND(F.lit(SAMPLED - 1)) == 1)
+
+        def each(c: Column, i: Column, q: Column) -> Column:
+            to, own = F.get(c, q + 1) - WINDOW, F.array(code(i, i - F.least(i, end - WINDOW)))
+            return F.when(i < to, F.concat(own, F.transform(F.sequence(i + 1, to), lambda j: code(j, F.lit(0))))).otherwise(own)
+
+        gap = _bind(F.concat(F.array(x), again, F.array(end)), lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, q: each(c, i, q))))
+        return F.when(x < end - WINDOW, gap).otherwise(own)
 
     every = F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, k: from_(x, b, k))))
     return F.filter(every, lambda c: (c >= 0) & (_at(c) <= F.size(h) - GRAM))
@@ -151,6 +151,29 @@ def _chains(prints: Column) -> Column:
     return _bind(prints, of)
 
 
+def _ranges(numbers: Column) -> Column:
+    """(lo, hi) of the stretches of consecutive numbers, of numbers in order."""
+
+    def of(s: Column) -> Column:
+        lo = F.filter(s, lambda i, k: F.coalesce(F.get(s, k - 1) < i - 1, F.lit(True)))
+        hi = F.filter(s, lambda i, k: F.coalesce(F.get(s, k + 1) > i + 1, F.lit(True)))
+        return F.zip_with(lo, hi, lambda x, y: F.struct(x.alias("lo"), y.alias("hi")))
+
+    return _bind(numbers, of)
+
+
+def _run_hashes(words: Column, first: Column) -> Column:
+    """(first word, hash) of every run of RUN_WORDS among ``words``, which begin at ``first``: hashes of 5 make those of 25, these those of 50."""
+
+    def every(x: Column, size: int, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*(F.get(x, i + j * size) for j in range(5))))
+
+    def runs(x: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((first + i).cast("int").alias("first"), F.xxhash64(F.get(x, i), F.get(x, i + 25)).alias("r")))
+
+    return _bind(words, lambda w: _bind(every(w, 1, F.size(w) - 5), lambda x: _bind(every(x, 5, F.size(x) - 21), lambda y: runs(y, F.size(y) - 26))))
+
+
 def _runs(hashes: Column, codes: Column, chains: Column) -> Column:
     """(first word, hash) of each run whose own fingerprints all occur elsewhere too, by ``codes``, and that isn't inside a chain."""
 
@@ -168,7 +191,8 @@ def _runs(hashes: Column, codes: Column, chains: Column) -> Column:
 
     def of(h: Column) -> Column:
         inside = F.flatten(F.transform(chains, lambda c: F.sequence(c["a"], c["b"] - RUN_WORDS)))
-        return F.transform(F.array_except(starts(F.array_except(_prints(h), codes), F.size(h)), inside), lambda i: F.struct(i.alias("first"), F.xxhash64(F.slice(h, i + 1, RUN_WORDS)).alias("r")))
+        ranges = _ranges(F.array_except(starts(F.array_except(_prints(h), codes), F.size(h)), inside))
+        return F.flatten(F.transform(ranges, lambda r: _run_hashes(F.slice(h, r["lo"] + 1, r["hi"] - r["lo"] + RUN_WORDS), r["lo"])))
 
     return _bind(hashes, of)
 
@@ -178,7 +202,7 @@ def marked(rows: DataFrame, store: Store) -> DataFrame:
     prints = rows.where("text is not null").select("row", F.inline(_grams(_hashes(F.col("text")))))
     shared = _linked(prints, "g", "code", _at).where("way is not null or again")
     places = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("code", "way"))).alias("p"))
-    places = places.select("row", F.transform("p", lambda x: x["code"]).alias("codes"), _chains(F.col("p")).alias("chains"))
+    places = _put(store, places.select("row", F.transform("p", lambda x: x["code"]).alias("codes"), _chains(F.col("p")).alias("chains")), "places")
     return _put(store, rows.join(places, "row", "left"), "marked")
 
 
