@@ -121,7 +121,7 @@ _LANES = [_U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88
 
 def _joined(hashes: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(max(0, len(hashes) - k + 1), _U)
-    for i in range(k):
+    for i in range(k if len(total) else 0):
         lane = _LANES[i % len(_LANES)] + _U(2 * (i // len(_LANES)))
         total += mix(hashes[i : len(hashes) - k + 1 + i] ^ lane) * lane
     return mix(total + _U(k))

@@ -37,5 +37,7 @@ def components(store: Store, links: DataFrame, name: str = "cc", max_rounds: int
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     labelled = edges.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node")
     return labelled.unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct().join(labelled.select("node"), "node", "left_anti"))

@@ -9,8 +9,9 @@ steps in the token-weighted metric: r <- max(0, r + posterior . d), where d is t
 scaled by the active documents' small Gram matrix.  A step needs one aggregation of a few dozen
 sums; rates are an expression of the steps so far, so no iteration writes the table.
 
-What reaches the driver are sums whose number depends on the domains (at most ``DOMAINS``)
-and statistics alone.  Rates become whole copies by unbiased rounding with a hash of the
+What reaches the driver are sums whose number depends on the domains and statistics alone.  Beyond
+``DOMAINS`` domains the rarer ones are one domain, "other", whose target is the sum of theirs.
+Targets that the steps don't reach (they may be out of reach for nonnegative rates) are reported by a warning.  Rates become whole copies by unbiased rounding with a hash of the
 document, so expected totals are kept.
 
 Defined cases: null and empty texts have zero tokens, statistics of an empty text and rate 1;
@@ -20,7 +21,9 @@ without labelled rows there is one domain, "all"; an empty table stays empty.
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from rowsmith.llm._store import Store
 
 DOMAINS, STEPS, TOLERANCE = 64, 30, 1e-6
+#: The domain of labelled rows whose domain isn't among the DOMAINS - 1 most frequent, where there are more than DOMAINS.
+OTHER = "other"
+#: Residual, as a share of the targets, from which a mix is reported as unfinished.
+REPORTED = 1e-2
 #: Statistics as (regular expression counted, share of characters it stands for).
 _COUNTED = ("[A-Z]", "[#$%&*]", "[!|]", "[.,]", "[éèêàçù]", "[ñáíóú]", "[äöüß]", "[0-9@/:]", "th|ing", "[jkqwxyz]")
 _SIZE = len(_COUNTED) + 3
@@ -54,11 +61,15 @@ def _x(i: int) -> Column:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, weights and offsets of the discriminants, from rows (domain, x)."""
     sums = [F.sum(_x(i)).alias(f"s{i}") for i in range(_SIZE)] + [F.sum(_x(i) * _x(j)).alias(f"q{i}_{j}") for i in range(_SIZE) for j in range(i + 1)]
-    found = rows.groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()
+    found = [r.asDict() for r in rows.groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "domain").limit(DOMAINS + 1).collect()]
     if not found:
         return ["all"], np.zeros((1, _SIZE)), np.zeros(1)
-    found = sorted(found, key=lambda r: r.domain)
-    n = np.array([r.n for r in found], float)
+    if len(found) > DOMAINS:  # the rarer ones together
+        found = [r for r in found[: DOMAINS - 1] if r["domain"] != OTHER]
+        rest = rows.where(~F.col("domain").isin([r["domain"] for r in found])).agg(F.count("*").alias("n"), *sums).first()
+        found.append(rest.asDict() | {"domain": OTHER})
+    found = sorted(found, key=lambda r: r["domain"])
+    n = np.array([r["n"] for r in found], float)
     mean = np.array([[r[f"s{i}"] for i in range(_SIZE)] for r in found]) / n[:, None]
     square = np.zeros((_SIZE, _SIZE))
     for r in found:
@@ -69,7 +80,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     spread = (square - (mean * n[:, None]).T @ mean) / max(1.0, n.sum() - len(n))
     spread += np.diag(np.maximum(1e-6, 0.02 * np.diag(spread)))
     weights = np.linalg.solve(spread, mean.T).T
-    return [r.domain for r in found], weights, np.log(n / n.sum()) - 0.5 * (weights * mean).sum(1)
+    return [r["domain"] for r in found], weights, np.log(n / n.sum()) - 0.5 * (weights * mean).sum(1)
 
 
 def _posteriors(weights: np.ndarray, offsets: np.ndarray) -> Column:
@@ -129,12 +140,12 @@ def solve(members: DataFrame, target: np.ndarray) -> tuple[Column, np.ndarray]:
     return rate(steps), reached
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, size: float = 1.0, default: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | Callable[[str], float] | None = None, size: float = 1.0, default: float = 1.0) -> DataFrame:
     """The rows of ``docs`` with n_tokens, posterior (map of domain to probability), rate and copies.
 
     labelled: (doc_id, domain).  Targets are either ``weights``, shares of ``size`` times all
     tokens (domains not named share nothing), or ``factors`` of each domain's own expected
-    total (``default`` for domains not named).
+    total, by name (``default`` for domains not named) or by a function of it.
     """
     store = Store(docs.sparkSession, "mixing")
     named = ("n_tokens", "posterior", "rate", "copies", "draw")
@@ -147,11 +158,17 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     natural = members.agg(*(F.sum(F.col("n_tokens") * _p(d)).alias(f"m{d}") for d in range(len(domains)))).first()
     own = np.array([natural[d] or 0.0 for d in range(len(domains))])
     if weights is None:
-        target = own * np.array([(factors or {}).get(d, default) for d in domains])
+        of = factors if callable(factors) else lambda d: (factors or {}).get(d, default)
+        target = own * np.array([of(d) for d in domains])
     else:
         share = np.array([weights.get(d, 0.0) for d in domains])
+        if OTHER in domains and OTHER not in weights:
+            share[domains.index(OTHER)] = sum(w for d, w in weights.items() if d not in domains)
         target = size * own.sum() * share / max(share.sum(), 1e-300)
-    rate, _ = solve(members, target)
+    rate, reached = solve(members, target)
+    off = float(np.abs(target - reached).sum()) / max(1.0, float(np.abs(target).sum()))
+    if off > REPORTED:
+        logging.getLogger("rowsmith").warning("mixing: totals are off their targets by %.3g of these", off)
     rated = members.withColumn("rate", rate)
     uniform = F.shiftrightunsigned("draw", 11).cast("double") * math.pow(2.0, -53)
     posterior = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)), F.col("posterior"))
@@ -166,6 +183,7 @@ def domains_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def apply_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Every row of ``docs`` as often as its ``copies`` say; rows are matched by id and text."""
-    draws = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw")).agg(F.first("copies").alias("_copies"))
-    joined = docs.withColumn("_own", F.xxhash64("doc_id", "text")).join(draws, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_draw")))
-    return joined.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    draws = mixed.groupBy(F.col("doc_id").alias("id"), "draw").agg(F.first("copies").alias("copies"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", "text").alias("own"))
+    joined = rows.join(draws, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("draw")))
+    return joined.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -272,9 +272,9 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that share a doc_id one stays (the least text hash); rows without one all stay.
     """
-    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    out = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
     if repeats(docs, "doc_id"):
-        window = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        out = out.withColumn("_row", F.row_number().over(window)).where("_row = 1").drop("_row")
-    return out.unionByName(docs.where("doc_id is null"))
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("nth = 1")
+    return out.select("doc").unionByName(rows.where("id is null").select("doc")).select("doc.*")

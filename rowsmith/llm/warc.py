@@ -178,8 +178,8 @@ class _Stream:
             self.buffer, n = self.buffer[got:], n - got
 
 
-def read_records(raw, compressed: bool, wanted, payload: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA; wanted(row without payload) decides from the headers alone."""
+def read_records(raw, compressed: bool, wanted, payload: bool, verify: bool = False) -> Iterator[tuple]:
+    """Rows of SCHEMA; wanted(row without payload) decides from the headers alone; verify: a payload must have its digest."""
     stream = _Stream(raw, compressed)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = {}
@@ -204,6 +204,8 @@ def read_records(raw, compressed: bool, wanted, payload: bool) -> Iterator[tuple
             at = block.find(b"\r\n\r\n") if "msgtype=response" in fields.get("content-type", "") else -4
             body = block[at + 4 :]
             stream.skip(4)
+            if verify and row["payload_digest"] is not None and row["payload_digest"] != base32_sha1(body):
+                raise ValueError(f"the payload of {row['record_id']} has not the digest {row['payload_digest']}")
         else:
             stream.skip(length + 4)
         yield (*row.values(), body)
@@ -213,6 +215,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
+        self.verify = str(options.get("verify", "false")).lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 128 << 20)))
         self.filters: list[Filter] = []
 
@@ -243,11 +246,11 @@ class WarcReader(DataSourceReader):
         fs, _ = file_system(self.path)
         for path in partition.paths if partition is not None else ():
             with fs.open_input_stream(path, compression=None) as raw:
-                yield from read_records(raw, path.endswith(".gz"), self.wanted, self.payload)
+                yield from read_records(raw, path.endswith(".gz"), self.wanted, self.payload, self.verify)
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; options: payload, splitBytes."""
+    """``spark.read.format("warc").load(folder)``; options: payload, splitBytes, verify."""
 
     @classmethod
     def name(cls) -> str:
@@ -273,6 +276,6 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     folder = Store(spark, "warc").root + "/archive"
     write_warc(pages, folder, least).count()
     # A small split: each archive holds a partition's pages, and tasks should be many.
-    back = read_warc(spark, folder, splitBytes=str(8 << 20))
+    back = read_warc(spark, folder, splitBytes=str(8 << 20), verify="true")
     intact = F.col("payload").isNull() | ((F.octet_length("payload") == F.col("payload_bytes")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha1("payload").alias("read_sha1"), intact.alias("intact"))

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from rowsmith.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,3 +75,24 @@ def test_edge_cases_and_copies(spark):
     mixed = mixing.mix(docs, labels, factors={"good": 2.0, "poor": 0.0})
     out = mixing.apply_copies(docs, mixed)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in mixed.collect())
+
+
+def test_more_domains_than_are_kept(spark, monkeypatch):
+    """The rarer domains are one, "other", with the sum of their targets."""
+    monkeypatch.setattr(mixing, "DOMAINS", 3)
+    rows = [(i, "ABC " * 20 if i % 5 == 0 else "12 34 " * 15 if i % 5 == 1 else "abc def " * 10) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "up" if i % 5 == 0 else "num" if i % 5 == 1 else f"rare{i % 7}") for i in range(100)], "doc_id long, domain string")
+    domains, weights, _ = mixing.fit(docs.select("doc_id", F.array(*mixing.statistics(F.col("text"))).alias("x")).join(labelled, "doc_id"))
+    assert len(domains) == 3 and mixing.OTHER in domains and len(weights) == 3
+    out = mixing.mix(docs, labelled, weights={"up": 0.5, "num": 0.25, "rare1": 0.15, "rare2": 0.1})
+    total = out.selectExpr("sum(rate * n_tokens * posterior['other']) / sum(rate * n_tokens)").first()[0]
+    assert out.count() == 100 and abs(total - 0.25) < 0.02
+    assert all(abs(r.rate - 1) < 1e-3 for r in mixing.mix(docs, labelled, factors=lambda d: 1.0).collect())
+
+
+def test_copies_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "c", 7, 8, 9)], "doc_id long, text string, _copies int, copies int, draw int")
+    mixed = mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"))
+    out = mixing.apply_copies(docs, mixed)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a b", 7, 8, 9), (2, "c", 7, 8, 9)]

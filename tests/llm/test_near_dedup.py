@@ -113,3 +113,10 @@ def test_estimate_is_close():
     other = np.sort(np.concatenate([base[:3200], rng.integers(0, 2**63, 800, dtype=np.uint64)]))
     x, y = nd.sketches([base, other])
     assert abs(nd.likeness(x, y) - 3200 / 4800) < 0.2 and nd.likeness(x, x) > 0.99
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 5, 6), (2, "other words here", 5, 6), (None, text, 5, 6)], "doc_id long, text string, _row int, kept int")
+    out = nd.deduplicate(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id or 0) for r in out.collect()) in ([0, 1], [0, 1, 2])

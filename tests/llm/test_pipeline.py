@@ -87,3 +87,21 @@ def test_stages_against_brute_force(spark, folder):
         docs = out
     again = cp.run(spark, folder)
     assert again.count() == docs.count()
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Every stage on nulls in any column, empty and repeated rows, no rows, and extra columns of clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "word " * 30_000
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some words", "en", "s", 10), (3, " \n\n", "en", None, 3), (4, long, "en", "s", len(long)), (5, "a tie", "en", "s", 5), (6, "a tie", "en", "s", 5)]
+    odd = spark.createDataFrame(rows, schema).selectExpr("*", "1 as row", "2 as _err", "3 as copies", "4 as __gone")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, folder)
+            n = out.count()
+            assert name == "packing" or out.columns == list(cp.COLUMNS)
+            assert (n == 0) == (docs.limit(1).count() == 0)
+            if name == "toxicity" and n:
+                assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r[0]) for r in rows)
+            if name == "near_dedup" and n:
+                assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 5}

@@ -47,3 +47,12 @@ def test_headers_first(compressed):
     raw = b"".join(gzip.compress(p) if compressed else p for p in parts)
     rows = list(warc.read_records(io.BytesIO(raw), compressed, lambda r: r["page_id"] % 2 == 0, True))
     assert [(r[0], r[-1]) for r in rows] == [(0, b"abc"), (2, b"abc"), (4, b"abc")]
+
+
+def test_a_wrong_digest_is_found(tmp_path):
+    right = warc.record(1, "http://a", "response", warc.base32_sha1(b"abc"), None, 3, b"abc")
+    wrong = warc.record(2, "http://b", "response", warc.base32_sha1(b"abd"), None, 3, b"abc")
+    assert len(list(warc.read_records(io.BytesIO(right), False, lambda row: True, True, verify=True))) == 1
+    assert len(list(warc.read_records(io.BytesIO(wrong), False, lambda row: True, True))) == 1
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.read_records(io.BytesIO(right + wrong), False, lambda row: True, True, verify=True))
