@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs; all but the last return the columns of documents.
+
+Defined cases, for all stages: null and empty texts, null ids and null labels pass every stage; repeated rows
+count as rows, but for near-dedup, which keeps one row of an id; extra columns of whatever name
+go; an empty table stays empty; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -46,8 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the rates of their soft domains say: good ones once or twice, poor ones seldom."""
     docs = docs.select(*COLUMNS)
     labelled = mixing.domains_of(docs, _labels(spark, sf_dir))
-    names = [r.domain for r in labelled.select("domain").distinct().orderBy("domain").limit(mixing.DOMAINS).collect()]
-    mixed = mixing.mix(docs, labelled, factors={d: GOOD if d.endswith("/good") else POOR for d in names})
+    mixed = mixing.mix(docs, labelled, factors=lambda d: GOOD if d.endswith("/good") else POOR if d.endswith("/poor") else 1.0)
     return mixing.apply_copies(docs, mixed)
 
 
