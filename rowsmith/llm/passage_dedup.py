@@ -2,8 +2,8 @@
 
 A document is its sequence of words ``\\S+``; line feeds are white space like any other, so a
 passage is found wherever in a line it begins or ends.  Fingerprints are the words that
-every window of ``WINDOW`` words ranks first: those that a hash samples, in windows without one those
-that it samples second, and the first word of windows without either; a fingerprint's gram is the
+every window of ``WINDOW`` words ranks first: those of a sample by hash, in windows without one those
+of a second sample, then of a third, and the first word of windows without any; a fingerprint's gram is the
 ``GRAM`` words from it on.  All depend only on the words
 themselves, so every run of ``RUN_WORDS`` (50) words has a gram within, the same in each copy.
 
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from rowsmith.llm._store import Store
 
 RUN_WORDS, GRAM, WINDOW = 50, 26, 25
-#: One word in so many is sampled by its hash.
-SAMPLED = 8
+#: Samples of words, by the last four bits of their hashes.
+SAMPLES = ((0,), (1,), (2, 3))
 #: Windows over which positions of one gram or run are spread.
 SALTS = 32
 
@@ -74,7 +74,7 @@ def keyed(docs: DataFrame, store: Store) -> DataFrame:
 
 
 def _hashes(text: Column) -> Column:
-    return F.transform(F.split(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), "\\s+", -1), lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(text, F.lit("\\S++"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def _at(code: Column) -> Column:
@@ -83,31 +83,34 @@ def _at(code: Column) -> Column:
 
 
 def _prints(h: Column) -> Column:
-    """Codes of the fingerprints, in order: sampled words, those of a second sample in windows without, and the first word of windows without either.
+    """Codes of the fingerprints, in order: words of the first sample that a window has, and the first word of windows without any.
 
     A code holds the word's number and, below, how many words before it the last window
-    begins that makes it one (none for sampled words): that window and the gram settle it.
+    begins that makes it one (none for the first sample): that window and the gram settle it.
     """
-    sampled = F.filter(F.transform(h, lambda x, i: F.when(x.bitwiseAND(F.lit(SAMPLED - 1)) == 0, i)), lambda i: i.isNotNull())
-    bounds = F.concat(F.array(F.lit(-1)), sampled, F.array(F.size(h)))
-
     def code(at: Column, back: Column) -> Column:
         return F.shiftleft(at.cast("long"), 5).bitwiseOR(back.cast("long"))
 
-    def from_(x: Column, b: Column, k: Column) -> Column:
-        """Sampled word x, then those of windows that begin after it and end before the next one."""
-        end, own = F.get(b, k + 1), F.array(code(x, F.lit(0)))
-        again = F.filter(F.sequence(x + 1, end - 1), lambda i: F.get(h, i).bitwiseAND(F.lit(SAMPLED - 1)) == 1)
+    def cover(x: Column, own: Column, end: Column, level: int) -> Column:
+        """``own``, the code of word x, and those of windows that begin after x and end before ``end``, all without earlier samples' words."""
+        if level == len(SAMPLES):
+            return F.when(x < end - WINDOW, F.concat(F.array(own), F.transform(F.sequence(x + 1, end - WINDOW), lambda j: code(j, F.lit(0))))).otherwise(F.array(own))
+
+        def chosen(word: Column) -> Column:
+            return word.bitwiseAND(F.lit(15)).isin(*SAMPLES[level])
+
+        if level:
+            words = F.filter(F.sequence(x + 1, end - 1), lambda i: chosen(F.get(h, i)))
+        else:  # the whole text
+            words = F.filter(F.transform(h, lambda w, i: F.when(chosen(w), i)), lambda i: i.isNotNull())
 
         def each(c: Column, i: Column, q: Column) -> Column:
-            to, own = F.get(c, q + 1) - WINDOW, F.array(code(i, i - F.least(i, end - WINDOW)))
-            return F.when(i < to, F.concat(own, F.transform(F.sequence(i + 1, to), lambda j: code(j, F.lit(0))))).otherwise(own)
+            return cover(i, F.when(q == 0, own).otherwise(code(i, i - F.least(i, end - WINDOW)) if level else code(i, F.lit(0))), F.get(c, q + 1), level + 1)
 
-        gap = _bind(F.concat(F.array(x), again, F.array(end)), lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, q: each(c, i, q))))
-        return F.when(x < end - WINDOW, gap).otherwise(own)
+        gap = _bind(F.concat(F.array(x), words, F.array(end)), lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, q: each(c, i, q))))
+        return F.when(x < end - WINDOW, gap).otherwise(F.array(own))
 
-    every = F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, k: from_(x, b, k))))
-    return F.filter(every, lambda c: (c >= 0) & (_at(c) <= F.size(h) - GRAM))
+    return F.filter(cover(F.lit(-1), code(F.lit(-1), F.lit(0)), F.size(h), 0), lambda c: (c >= 0) & (_at(c) <= F.size(h) - GRAM))
 
 
 def _grams(hashes: Column) -> Column:
