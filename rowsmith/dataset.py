@@ -531,17 +531,20 @@ def _native_fold(context: Context, frame: Frame, udf: source.Udf, parts: list[fo
     names = [fresh() for _ in parts]
     computed = df.select(*frame.cols, *(v.col.cast("long" if v.type == "bool" else to_spark(v.type)).alias(n) for v, n in zip(values, names, strict=True)), *([] if err is None else [err.alias("_err")]))
     inner = replace(frame, df=computed, cols=[*frame.cols, *names], types=[*frame.types, *(v.type for v in values)], names=[*frame.names, *[None] * len(names)], may_fail=err is not None, order=[]).main()
-    aggs, types = [], []
+    aggs, types, lost = [], [], F.lit(False)
     for p, n, v in zip(parts, names, values, strict=True):
         kind = "f64" if "f64" in (v.type, ty.of_value(p.initial)) else "i64"
         start = F.lit(p.initial).cast(to_spark(kind))
         c = F.col(n).cast(to_spark(kind))
         if p.how == "sum":
-            total = F.coalesce(F.sum(c), F.lit(0).cast(to_spark(kind))) + start
+            total = F.when(F.count(c) == 0, start).otherwise(F.try_add(F.try_sum(c), start))
+            lost = lost | (total.isNull() if kind == "i64" else F.lit(False))
         else:
             total = (F.least if p.how == "min" else F.greatest)(F.coalesce({"min": F.min, "max": F.max}[p.how](c), start), start)
         aggs.append(total.alias(fresh()))
         types.append(kind)
-    grouped = inner.df.groupBy(*(frame.cols[i] for i in keys)).agg(*aggs)
-    cols = grouped.columns
-    return Frame(grouped, cols, [*(frame.types[i] for i in keys), *types], [*(frame.names[i] for i in keys), *[None] * len(types)], failed=inner.failed)
+    # A sum beyond 64 bits is set aside like any value that no column holds.
+    sums = any(p.how == "sum" and t == "i64" for p, t in zip(parts, types, strict=True))
+    grouped = inner.df.groupBy(*(frame.cols[i] for i in keys)).agg(*aggs, *([F.when(lost, errors.literal("OverflowError")).alias("_err")] if sums else []))
+    cols = [c for c in grouped.columns if c != "_err"]
+    return Frame(grouped, cols, [*(frame.types[i] for i in keys), *types], [*(frame.names[i] for i in keys), *[None] * len(types)], may_fail=sums, failed=inner.failed)

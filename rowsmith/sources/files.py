@@ -20,6 +20,8 @@ if TYPE_CHECKING:
     from rowsmith.context import Context
 
 SAMPLE_ROWS = 10_000
+#: Files, spread evenly over those given, whose first bytes are sampled.
+SAMPLE_FILES = 64
 _TRUE, _FALSE = ("true", "t", "yes", "y"), ("false", "f", "no", "n")
 _INT = re.compile(r"\s*[+-]?\d{1,19}\s*\Z")
 _FLOAT = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\Z|\s*[+-]?(inf|nan)\s*\Z", re.I)
@@ -136,13 +138,21 @@ def csv(context: Context, pattern: str, columns: list[str] | None, header: bool
     if not paths:
         return f"no file matches {pattern}"
     comments = context.options_["csv.comments"]
-    text = head(context, paths[0], context.number("csv.maxDetectionMemory"))
-    lines = text.split("\n")
-    plain = "\n".join(x for x in lines if not x.startswith(tuple(comments))) if comments else text
-    sep = delimiter or separator(plain, context.options_["csv.separators"], quotechar)
-    rows = [r for r in _csv.reader(io.StringIO(plain), delimiter=sep, quotechar=quotechar) if r][: min(SAMPLE_ROWS, context.number("csv.maxDetectionRows"))]
-    if not rows:
+    limit, most = context.number("csv.maxDetectionMemory"), min(SAMPLE_ROWS, context.number("csv.maxDetectionRows"))
+    sampled = paths[:: max(1, -(-len(paths) // SAMPLE_FILES))]
+    heads = [t for t in (head(context, p, limit) for p in sampled) if t.strip()]
+    if comments:
+        heads = ["\n".join(x for x in t.split("\n") if not x.startswith(tuple(comments))) for t in heads]
+    if not heads:
+        return f"{paths[0]} is empty"
+    sep = delimiter or separator(max(heads, key=len), context.options_["csv.separators"], quotechar)
+    files = [[r for r in _csv.reader(io.StringIO(t), delimiter=sep, quotechar=quotechar) if r][:most] for t in heads]
+    files = [f for f in files if f]
+    if not files:
         return f"{paths[0]} is empty"
+    # Of each file the first line may be the header; the rows of all files tell the types.
+    rows = files[0] + [r for f in files[1:] for r in (f[1:] if f[0] == files[0][0] else f)]
+    whole_seen = len(sampled) == len(paths) and sum(map(len, files)) < most and all(_fs(context, p)[1].getFileStatus(_fs(context, p)[0]).getLen() <= limit for p in paths)
     width = max(set(map(len, rows)), key=[len(r) for r in rows].count)
     first = rows[0]
     if header is None:
@@ -159,6 +169,10 @@ def csv(context: Context, pattern: str, columns: list[str] | None, header: bool
     body = [r for r in (rows[1:] if header else rows) if len(r) == width]
     nulls = list(null_values)
     kinds = [_column_type([None if r[i] in nulls else r[i] for r in body], context.options_["normalcaseThreshold"]) for i in range(width)]
+    if not whole_seen:  # a column of which no cell was seen may hold anything
+        kinds = [opt("str") if k == "null" else k for k in kinds]
+    elif not body:
+        kinds = [opt("str")] * width
     for key, hint in (type_hints or {}).items():
         at = names.index(key) if isinstance(key, str) else key
         kinds[at] = ty.from_hint(hint)

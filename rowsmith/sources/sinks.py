@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
@@ -59,6 +60,12 @@ def write(ds: DataSet, kind: str, path: str, part_size: int, num_rows: int | Non
     if not path.endswith(f".{kind}"):
         folder, _ = _fs(context, path)
         fs.mkdirs(folder)
+    # Parts of an earlier write that this one doesn't replace would be read with its own.
+    name = re.escape(path.rstrip("/").rsplit("/", 1)[-1][: -len(kind) - 1]) + r"\." if path.endswith(f".{kind}") else ""
+    where = _fs(context, path)[0].getParent() if name else _fs(context, path)[0]
+    for s in fs.listStatus(where) if fs.exists(where) else ():
+        if s.isFile() and re.fullmatch(rf"{name}part\d+\.{kind}", s.getPath().getName()):
+            fs.delete(s.getPath(), False)
     for n, p in enumerate(parts):
         target = jvm.org.apache.hadoop.fs.Path(generator(n) if generator is not None else _part(path, n, kind))
         fs.delete(target, False)

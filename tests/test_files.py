@@ -91,3 +91,30 @@ def test_late_quoted_line_feeds(c, tmp_path):
     put(tmp_path / "h1.csv", "a,b\n1,u\n2,v\n")
     put(tmp_path / "h2.csv", 'a,b\n3,"x\ny"\n')
     assert c.csv(f"{tmp_path}/h*.csv").collect() == [(1, "u"), (2, "v"), (3, "x\ny")]
+
+
+def test_first_file_of_a_header_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n")
+    (tmp_path / "b.csv").write_text("k,v\nz,1\nw,2\n")
+    got = Context(spark=spark).csv(str(tmp_path / "*.csv"))
+    assert got.columns == ["k", "v"] and got.collect() == [("z", 1), ("w", 2)]
+
+
+def test_types_come_from_all_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\nx,1\n")
+    (tmp_path / "b.csv").write_text("k,v\nz,hello\nw,3.5\n")
+    assert Context(spark=spark).csv(str(tmp_path / "*.csv")).collect() == [("x", "1"), ("z", "hello"), ("w", "3.5")]
+
+
+def test_a_second_write_replaces_all_parts(spark, tmp_path):
+    ctx, out = Context(spark=spark), str(tmp_path / "out")
+    ctx.parallelize(list(range(100)), columns=["n"]).tocsv(out, num_parts=4)
+    ctx.parallelize([7], columns=["n"]).tocsv(out, num_parts=1)
+    assert ctx.csv(f"{out}/*.csv").collect() == [7]
+
+
+def test_sums_beyond_64_bits_are_set_aside(spark):
+    ds = Context(spark=spark).parallelize([(1, 2**62)] * 4 + [(2, 5)], columns=["k", "v"])
+    total = ds.aggregateByKey(lambda a, b: a + b, lambda a, x: a + x["v"], 0, ["k"])
+    assert total.collect() == [(2, 5)] and total.exception_counts == {"OverflowError": 1}
+    assert ds.filter(lambda x: x["k"] > 5).aggregate(lambda a, b: a + b, lambda a, x: a + x["v"], 0).collect() == [0]
