@@ -12,11 +12,12 @@ missed with probability (1 - 0.8**4)**32 = 5e-8.  The estimate's bound
 
 Groups of any size: equal sets collapse to one class first; each bucket then
 links to its smallest member; only classes of *different* components that still
-share a bucket are compared again, by sketch, inside tasks, in blocks of about ``BLOCK``;
-the ids of those that have a partner leave the task.  Among these a prefix join on their
-rarest shingles finds the candidates exactly (two sets this alike share one of the
-rarest fifth), and each is confirmed.  Hence nothing emits the pairs of a group, and
-no bucket is capped.
+share a bucket are compared again, by size and sketch, inside tasks, in blocks of about
+``BLOCK``; the ids of those that have a partner leave the task.  These get a finer sketch,
+``2**FINE_BITS`` registers of four bits, and are compared once more in their buckets; of a
+large family of edits of one text, which the first sketch can't tell from links, few pairs
+are left.  Pairs within ``ERRORS`` standard errors of the threshold, or above it, are
+confirmed on their texts.  No bucket is capped.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a
 text of fewer than k words has its whole sequence as only shingle; rows that
@@ -40,31 +41,49 @@ from rowsmith.llm.components import components
 BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BITS
 BANDS = BUCKETS // ROWS
-SLACK, BLOCK = 0.2, 256
+SLACK, BLOCK = 0.2, 4096
+FINE_BITS, ERRORS = 11, 5.66
+#: Bytes of the sketches that are compared at once.
+COMPARED = 1 << 19
 #: Expected share of accidental register collisions (Yu and Weber, 2022) for sets of like size.
 COLLISIONS = 0.1699194871597391 / (1 << MANTISSA)
 
 
+def _least(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, hash) of the least hash of each bucket of sorted sets that isn't empty."""
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    cell = np.repeat(np.arange(len(sets)) << bits, [len(s) for s in sets]) + (flat >> np.uint64(64 - bits)).astype(np.int64)
+    least = np.flatnonzero(np.diff(cell, prepend=-1))  # sets are sorted: first is least
+    return cell[least], flat[least]
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """HyperMinHash registers, one row of BUCKETS uint16 for each sorted set; 0 marks an empty bucket."""
     out = np.zeros((len(sets), BUCKETS), np.uint16)
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    if not sizes.sum():
-        return out
-    flat = np.concatenate(sets)
-    cell = np.repeat(np.arange(len(sets)) * BUCKETS, sizes) + (flat >> np.uint64(64 - BITS)).astype(np.int64)
-    least = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))  # sets are sorted: first is least
-    rest = flat[least] << np.uint64(BITS)
+    cell, least = _least(sets, BITS)
+    rest = least << np.uint64(BITS)
     zeros = np.clip(63 - np.log2(np.maximum(rest, 1).astype(np.float64)).astype(np.int64), 0, 62)
     mantissa = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out.reshape(-1)[cell[least]] = ((zeros + 1) << MANTISSA) | ((1 << MANTISSA) - 1 - mantissa.astype(np.int64))
+    out.reshape(-1)[cell] = ((zeros + 1) << MANTISSA) | ((1 << MANTISSA) - 1 - mantissa.astype(np.int64))
     return out
 
 
+def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of 2**FINE_BITS registers, two in a byte, for each sorted set: 1 to 15 by the least hash of a bucket, 0 for an empty one."""
+    out = np.zeros((len(sets), 1 << FINE_BITS), np.uint8)
+    cell, least = _least(sets, FINE_BITS)
+    out.reshape(-1)[cell] = (least & np.uint64(0xFFFFFFFF)) % np.uint64(15) + np.uint64(1)
+    return out[:, ::2] | out[:, 1::2] << 4
+
+
+def _count(mask: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(mask.view(np.uint64)).sum(-1, dtype=np.int64)
+
+
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimates of sketches, broadcast over leading axes."""
-    filled = ((x | y) != 0).sum(-1)
-    same = ((x == y) & (x != 0)).sum(-1)
+    filled = _count((x | y) != 0)
+    same = _count((x == y) & (x != 0))
     share = same / np.maximum(filled, 1)
     return np.maximum(0.0, (share - COLLISIONS) / (1 - COLLISIONS))
 
@@ -99,90 +118,121 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(band[some]), pa.array(keys[some])], names=["rep", "band", "key"])
 
 
-def _estimated(least: float):
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
+def _fine_registers(column: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    out = np.empty((len(packed), 1 << FINE_BITS), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def _maybe_alike(percent: int):
+    """Whether sets may be as alike as ``percent``, by their sketches and the sum of their sizes."""
+    return lambda x, y, n: likeness(x, y) >= percent / 100 - SLACK
+
+
+def _likely_alike(percent: int):
+    """As :func:`_maybe_alike`, by fine sketches: not ERRORS standard errors below.
+
+    Registers filled in one of two sets are drawn without replacement from their union. Unlike
+    hashes have equal codes once in 15 times.
+    """
+    share = percent / 100
+
+    def run(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        filled, both, equal = np.maximum(_count((x | y) != 0), 1), _count((x != 0) & (y != 0)), _count((x == y) & (x != 0))
+        left = 1 - filled / np.maximum(filled, n / (1 + share))
+        error = np.sqrt(share * (1 - share) * left / filled + (both - equal) / (14 * filled**2))
+        return (15 * equal - both) / (14 * filled) >= share - ERRORS * error - 1e-9
+
+    return run
+
+
+def _estimated(percent: int):
     """Keeps pairs (a, b, ra, rb) whose sketches may be alike enough."""
+    alike = _maybe_alike(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(likeness(x, y) >= least))
+                yield batch.select([0, 1]).filter(pa.array(alike(_registers(batch.column(2)), _registers(batch.column(3)), None)))
 
     return run
 
 
-def _within(least: float):
-    """Rows (cell, side, component, rep, registers) sorted by cell; keeps reps alike enough to one of another component.
+def _within(percent: int, fine: bool):
+    """Rows (cell, n, side, component, rep, registers) sorted by cell and n, to the reps alike enough to one of another component.
 
     side 0: a whole bucket or a block of it against itself; sides 1 and 2: two blocks.
+    Sets whose sizes ``n`` alone rule a link out aren't compared. By fine sketches: the pairs (a, b).
     """
-
-    def partnered(rows: list[tuple]) -> np.ndarray:
-        side = np.array([r[0] for r in rows])
-        comp, rep = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, BUCKETS)
-        hit = np.zeros(len(rows), bool)
-        for i in np.flatnonzero(side < 2):
-            others = np.flatnonzero((side == 2) if side[i] == 1 else (np.arange(len(rows)) > i))
-            others = others[comp[others] != comp[i]]
-            if len(others):
-                good = others[likeness(regs[i], regs[others]) >= least]
-                hit[good] = True
-                hit[i] |= len(good) > 0
-        return rep[hit]
+    unpacked, alike = (_fine_registers, _likely_alike(percent)) if fine else (_registers, _maybe_alike(percent))
+
+    def partners_of(cell: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndarray, regs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of rows of whole cells that are alike enough."""
+        rows = np.arange(len(cell))
+        number = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1]))) << 40
+        partners = np.searchsorted(number + n, number + 100 * n // percent, side="right") - rows - 1
+        before = np.concatenate(([0], np.cumsum(partners)))
+        lo, step = 0, max(1, COMPARED // regs[0].nbytes)
+        while lo < len(cell):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + step, side="right")) - 1)
+            i = np.repeat(rows[lo:hi], partners[lo:hi])
+            j = i + 1 + np.arange(len(i)) - (before[i] - before[lo])
+            some = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            i, j = i[some], j[some]
+            for at in range(0, len(i), step):
+                x, y = i[at : at + step], j[at : at + step]
+                good = alike(regs[x], regs[y], n[x] + n[y])
+                yield x[good], y[good]
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows, seen = None, [], set()
-
-        def flush() -> pa.RecordBatch:
-            found = set(partnered(rows).tolist()) - seen if len({r[1] for r in rows}) > 1 else set()
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(found)
-            return pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["rep"])
-
+        def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+            rep, pairs = rows.column(4).to_numpy(), partners_of(*(rows.column(i).to_numpy().astype(np.int64) for i in range(4)), unpacked(rows.column(5)))
+            if fine:
+                ends = np.concatenate([np.empty((2, 0), np.int64), *(np.sort([rep[x], rep[y]], axis=0) for x, y in pairs)], axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(end, pa.int64()) for end in ends], names=["a", "b"])
+            hit = np.zeros(len(rep), bool)
+            for x, y in pairs:
+                hit[x] = hit[y] = True
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(rep[hit]), pa.int64())], names=["rep"])
+
+        open_ = []  # rows of a cell that may go on
         for batch in batches:
-            for c, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if c != cell:
-                    yield flush()
-                    cell, rows = c, []
-                rows.append(row)
-        yield flush()
+            if not batch.num_rows:
+                continue
+            cell = batch.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[-1])
+            if open_ and (last or cell[0] != open_[-1].column(0)[0].as_py()):
+                yield found(pa.concat_batches([*open_, batch.slice(0, last)]))
+                open_ = []
+            elif last:
+                yield found(batch.slice(0, last))
+            open_.append(batch.slice(last))
+        if open_:
+            yield found(pa.concat_batches(open_))
 
     return run
 
 
-def _shingle_lists(k: int):
-    """Rows (rep, component, text) to (rep, component, shingles)."""
+def _fine(k: int):
+    """Rows (rep, text) to (rep, registers), those of the fine sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, sets in K.text_shingles(batch.column(2), k):
-                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), batch.column(1).slice(lo, len(sets)), lists], names=["rep", "component", "shingles"])
+            for lo, sets in K.text_shingles(batch.column(1), k):
+                for at in range(0, len(sets), 1024):
+                    part = sets[at : at + 1024]
+                    registers = pa.array([r.tobytes() for r in fine_sketches(part)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + at, len(part)), registers], names=["rep", "registers"])
 
     return run
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components among sets (rep, component, shingles).
-
-    Exact: sets as alike as ``percent`` share one of their rarest shingles, in any
-    order that all sets follow; here by document frequency, then hash.  Pairs inside
-    a shingle's most frequent component are never formed.
-    """
-    rows = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1).cast("int")
-    prefix = ranked.select("rep", "component", "n", F.explode(F.slice("s", 1, F.least(F.col("n"), length + 1))).alias("e")).where("e.df > 1").select("rep", "component", "n", F.col("e.h").alias("h"))
-    major = prefix.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
-    prefix = prefix.join(major, "h")
-    left = prefix.where("component <> major").select("h", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    right = prefix.select("h", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    both = left.join(right, "h").where(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
 def _confirm(k: int, percent: int):
     """Rows (a, b, text a, text b) to the pairs with 100 * intersection >= percent * union."""
 
@@ -204,13 +254,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """(doc_id, n_shingles, class_id, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
     store = Store(spark, "near")
-    least = percent / 100 - SLACK
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = store.put(source.mapInArrow(_features(k), "doc_id long, n_shingles long, sig_a long, sig_b long, registers binary"), "features")
     full = features.where("n_shingles > 0 and doc_id is not null")
     repeated = repeats(features, "doc_id")
     classes = store.put(full.groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.min_by("registers", "doc_id").alias("registers")), "classes")
     reps = classes.select("rep", "registers")
+    sizes = classes.select("rep", F.col("n_shingles").alias("n"))
 
     # Buckets with two classes or more.
     rows = reps.mapInArrow(_band_rows, "rep long, band int, key long")
@@ -223,14 +273,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return found.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else found
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.distinct().join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
-        pairs = store.put(pairs.mapInArrow(_estimated(least), "a long, b long"), f"{name}-pairs")
+        pairs = store.put(pairs, f"{name}-pairs")
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return store.put(both.mapInArrow(_confirm(k, percent), "a long, b long"), f"{name}-links")
 
-    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    links = confirmed(stars, "star")
+    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
+    links = confirmed(stars.mapInArrow(_estimated(percent), "a long, b long"), "star")
     # Rows of one doc_id with different texts are one document.
     links = links.unionAll(classes.select("rep").join(full.join(classes, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "rep").distinct(), "rep").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))) if repeated else links
     first = store.put(components(store, links, "cc-star"), "cc-star")
@@ -238,22 +288,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Buckets that still hold several components: compare across them, in blocks.
     labelled = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = labelled.join(mixed, ["band", "key"]).join(reps, "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    grid = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")),
+    rest = labelled.join(mixed, ["band", "key"]).join(sizes, "rep")
+
+    def compared(drawn: DataFrame, fine: bool, out: str) -> DataFrame:
+        """The reps, or by fine sketches the pairs, of buckets that hold several components that are alike by their sketches."""
+        blocked = rest.join(drawn, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        grid = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), F.col("blocks") - 1),
+                lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")),
+            )
         )
-    )
-    cells = rest.select("band", "key", "component", "rep", "registers", F.explode(grid).alias("g"))
-    cells = cells.select(F.xxhash64("band", "key", "g.i", "g.j").alias("cell"), F.col("g.side").alias("side"), "component", "rep", "registers")
-    close = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_within(least), "rep long")
-    close = store.put(close.distinct().join(labelled.select("rep", "component").distinct(), "rep"), "close")
-    texts = texts_of(close.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    sets = close.join(texts, "rep").select("rep", "component", "text").mapInArrow(_shingle_lists(k), "rep long, component long, shingles array<long>")
-    more = confirmed(_prefix_pairs(store.put(sets, "sets"), percent), "rest")
+        cells = blocked.select("band", "key", "n", "component", "rep", "registers", F.explode(grid).alias("g"))
+        cells = cells.select(F.xxhash64("band", "key", "g.i", "g.j").alias("cell"), "n", F.col("g.side").alias("side"), "component", "rep", "registers")
+        return cells.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(_within(percent, fine), out).distinct()
+
+    close = store.put(compared(reps, False, "rep long"), "close")
+    texts = texts_of(close.select(F.col("rep").alias("doc_id"))).select("doc_id", "text")
+    fine = store.put(texts.mapInArrow(_fine(k), "rep long, registers binary"), "fine")
+    more = confirmed(compared(fine, True, "a long, b long"), "rest")
     last = store.put(components(store, links.unionAll(more), "cc"), "component")
 
     named = features.join(classes.select("n_shingles", "sig_a", "sig_b", "rep"), ["n_shingles", "sig_a", "sig_b"], "left")

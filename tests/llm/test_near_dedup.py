@@ -120,3 +120,40 @@ def test_deduplicate_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 5, 6), (2, "other words here", 5, 6), (None, text, 5, 6)], "doc_id long, text string, _row int, kept int")
     out = nd.deduplicate(docs)
     assert out.columns == docs.columns and sorted((r.doc_id or 0) for r in out.collect()) in ([0, 1], [0, 1, 2])
+
+
+def test_family_of_edits_confirms_few_pairs(spark, monkeypatch):
+    """Edits of one text that are less alike than the threshold don't become candidates by the pair."""
+    rnd = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(2)]
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) if rnd.random() < 0.033 else w for w in base)) for i in range(150)]
+    rows += [(1000 + i, t.replace("w200 ", "z ")) for i, t in rows[:10]]
+    put, stored = nd.Store.put, {}
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nd.Store, "put", counted)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: ([r.n_shingles], r.component_id) for r in nd.near_duplicates(df, k=4).collect()}
+    assert got == brute(rows)
+    assert stored["rest-pairs"] < 3 * len(rows)
+
+
+def test_fine_estimate_loses_no_link():
+    rng = np.random.default_rng(4)
+    alike = nd._likely_alike(80)
+    for size in (1, 2, 5, 10, 40, 400, 3000, 20000):
+        for _ in range(40):
+            shared = rng.integers(0, 2**64, -(-8 * size // 10), dtype=np.uint64)
+            more = rng.integers(0, 2**64, size - len(shared), dtype=np.uint64)
+            x, y = np.sort(np.concatenate([shared, more[::2]])), np.sort(np.concatenate([shared, more[1::2]]))
+            a, b = (nd._fine_registers(pa.array([r.tobytes() for r in nd.fine_sketches([s])], pa.binary())) for s in (x, y))
+            assert alike(a, b, np.array([len(x) + len(y)])).all()
+    x, y = (np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(2))
+    x[:290] = y[:290]
+    a, b = (nd._fine_registers(pa.array([r.tobytes() for r in nd.fine_sketches([np.sort(s)])], pa.binary())) for s in (x, y))
+    assert not alike(a, b, np.array([800])).any()
