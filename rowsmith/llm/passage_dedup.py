@@ -66,10 +66,10 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def keyed(docs: DataFrame, store: Store) -> DataFrame:
-    """(doc, row, text): a row's columns as one struct, and a unique key, doc_id itself where that is one."""
+    """(doc, row, text): a row's other columns as one struct, and a unique key, doc_id itself where that is one."""
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
     unique = ids.groupBy("i").count().where("count > 1 or i is null").limit(1).count() == 0
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"), F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     return out if unique else store.put(out.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
@@ -102,7 +102,7 @@ def _prints(h: Column) -> Column:
         if level:
             words = F.filter(F.sequence(x + 1, end - 1), lambda i: chosen(F.get(h, i)))
         else:  # the whole text
-            words = F.filter(F.transform(h, lambda w, i: F.when(chosen(w), i)), lambda i: i.isNotNull())
+            words = F.array_remove(F.transform(h, lambda w, i: F.when(chosen(w), i).otherwise(-1)), -1)
 
         def each(c: Column, i: Column, q: Column) -> Column:
             return cover(i, F.when(q == 0, own).otherwise(code(i, i - F.least(i, end - WINDOW)) if level else code(i, F.lit(0))), F.get(c, q + 1), level + 1)
@@ -115,7 +115,11 @@ def _prints(h: Column) -> Column:
 
 def _grams(hashes: Column) -> Column:
     """(code, hash) of the gram of each fingerprint; null for fewer than RUN_WORDS words."""
-    return _bind(hashes, lambda h: F.when(F.size(h) >= RUN_WORDS, F.transform(_prints(h), lambda c: F.struct(c.alias("code"), F.xxhash64(F.slice(h, _at(c) + 1, GRAM)).alias("g")))))
+
+    def gram(h: Column, at: Column) -> Column:
+        return F.xxhash64(*(F.get(h, at + i) for i in range(GRAM)))  # a slice costs more than twice as much
+
+    return _bind(hashes, lambda h: F.when(F.size(h) >= RUN_WORDS, F.transform(_prints(h), lambda c: F.struct(c.alias("code"), _bind(_at(c), lambda at: gram(h, at)).alias("g")))))
 
 
 def _linked(df: DataFrame, key: str, at: str, place: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -206,7 +210,7 @@ def marked(rows: DataFrame, store: Store) -> DataFrame:
     shared = _linked(prints, "g", "code", _at).where("way is not null or again")
     places = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("code", "way"))).alias("p"))
     places = _put(store, places.select("row", F.transform("p", lambda x: x["code"]).alias("codes"), _chains(F.col("p")).alias("chains")), "places")
-    return _put(store, rows.join(places, "row", "left"), "marked")
+    return _put(store, rows.join(places.hint("shuffle_hash"), "row", "left"), "marked")  # texts needn't be sorted
 
 
 def repeated(found: DataFrame, store: Store) -> DataFrame:
@@ -263,11 +267,11 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     found = marked(keyed(docs, store), store)
     cuts = _put(store, _cuts(repeated(found, store)), "cuts")
     whole = found.where("codes is null").select("doc", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
-    out = whole.unionByName(found.where("codes is not null").join(cuts, "row", "left").select("doc", "text", "cuts"))
+    out = whole.unionByName(found.where("codes is not null").join(cuts.hint("shuffle_hash"), "row", "left").select("doc", "text", "cuts"))
     out = out.withColumn("left", F.when(F.col("cuts").isNotNull(), _without(F.col("text"), F.col("cuts"))))
 
     def lines(text: Column) -> Column:
-        return F.when(text != "", F.regexp_count(text, F.lit("\n")) + 1).otherwise(0)
+        return F.when(text != "", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
 
     fixed = F.coalesce("left", "text")
     removed = F.when(F.col("cuts").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("left"))).cast("int").alias("n_lines_removed")

@@ -65,3 +65,15 @@ def test_edge_cases(spark):
     assert got[5] == "\nc" and got[6] == "" and len(got[7].split("\n")) < 70
     again = pd.passage_dedup(frame(spark, [(1, p), (1, p), (None, p), (None, "q")])).collect()
     assert sorted(r.text for r in again) == ["", "", p, "q"]
+
+
+def test_texts_are_stored_once_and_never_sorted(spark):
+    rows = [(i, sentence(random.Random(i % 3), 60)) for i in range(9)]
+    df = frame(spark, rows).selectExpr("*", "1 as more")
+    store = pd.Store(spark, "test")
+    found = pd.marked(pd.keyed(df, store), store)
+    assert [f.name for f in found.schema["doc"].dataType] == [c for c in df.columns if c != "text"]
+    out = pd.passage_dedup(df)
+    assert out.columns == [*df.columns, "n_lines_removed"]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.text, r.more) for r in out.collect()} == {i: (t if i < 3 else "", 1) for i, t in rows}
