@@ -21,8 +21,9 @@ compared: the earliest place with its words is in no chain, and is compared.)
 Deleted lines take their line feeds with them; of a line deleted in part the rest stays,
 joined where the passage was cut out.
 
-Skew: a gram or run that very many documents hold meets in ``SALTS`` windows, which look at
-neighbours and hold nothing; their first rows alone, at most SALTS a gram, meet again.
+Skew: all rows of a gram pass through one task to be counted, unsorted and not held; most occur
+once and end there.  A gram that occurs again, or a run, that very many documents hold meets in ``SALTS``
+windows, which look at neighbours and hold nothing; their first rows alone, at most SALTS a gram, meet again.
 
 Hashes of grams and runs have 64 bits: two different ones are taken for equal with probability
 2**-64 a pair; nothing else is left to chance.
@@ -43,21 +44,23 @@ from pyspark.sql import functions as F
 from rowsmith.llm._store import Store
 
 RUN_WORDS, GRAM, WINDOW = 50, 26, 25
-#: Samples of words, by the last four bits of their hashes.
-SAMPLES = ((0,), (1,), (2, 3))
+#: Samples of the words whose hashes are below LOW (a quarter), by the last two bits of these.
+SAMPLES, LOW = ((0,), (1,), (2, 3)), -(1 << 62)
 #: Windows over which positions of one gram or run are spread.
 SALTS = 32
 
 
-def _put(store: Store, df: DataFrame, name: str) -> DataFrame:
-    """Stores a table; what was shuffled for it goes with its end, not with the session's."""
-    conf, key = store.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
+def _put(store: Store, df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Stores a table, by two values of a column at most, without sorting; what was shuffled for it goes with its end, not with the session's."""
+    conf, keys = store.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "2"}
+    before = {key: conf.get(key) for key in keys}
+    for key, value in keys.items():
+        conf.set(key, value)
     try:
-        return store.put(df, name)
+        return store.put(df, name, *by)
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -79,47 +82,90 @@ def _hashes(text: Column) -> Column:
 
 def _at(code: Column) -> Column:
     """The word of a fingerprint's code."""
-    return F.shiftright(code, 5).cast("int")
+    return F.shiftright(code, 20).cast("int")
+
+
+def _five(code: Column, low: int) -> Column:
+    """The number in five bits of a code."""
+    return F.shiftright(code, low).bitwiseAND(F.lit(31)).cast("int")
 
 
 def _prints(h: Column) -> Column:
-    """Codes of the fingerprints, in order: words of the first sample that a window has, and the first word of windows without any.
+    """The fingerprints, in order: words of the first sample that a window has, and the first word of windows without any; before them -1.
 
-    A code holds the word's number and, below, how many words before it the last window
+    Each is the word's number and, in five bits below, how many words before it the last window
     begins that makes it one (none for the first sample): that window and the gram settle it.
     """
     def code(at: Column, back: Column) -> Column:
         return F.shiftleft(at.cast("long"), 5).bitwiseOR(back.cast("long"))
 
-    def cover(x: Column, own: Column, end: Column, level: int) -> Column:
-        """``own``, the code of word x, and those of windows that begin after x and end before ``end``, all without earlier samples' words."""
-        if level == len(SAMPLES):
-            return F.when(x < end - WINDOW, F.concat(F.array(own), F.transform(F.sequence(x + 1, end - WINDOW), lambda j: code(j, F.lit(0))))).otherwise(F.array(own))
+    def place(w: Column) -> Column:
+        return F.shiftright(w, 2).cast("int")
 
-        def chosen(word: Column) -> Column:
-            return word.bitwiseAND(F.lit(15)).isin(*SAMPLES[level])
+    def chosen(w: Column, level: int) -> Column:
+        return w.bitwiseAND(F.lit(3)).isin(*SAMPLES[level])
 
-        if level:
-            words = F.filter(F.sequence(x + 1, end - 1), lambda i: chosen(F.get(h, i)))
-        else:  # the whole text
-            words = F.array_remove(F.transform(h, lambda w, i: F.when(chosen(w), i).otherwise(-1)), -1)
+    def cover(x: Column, own: Column, end: Column, words: Column, level: int) -> Column:
+        """``own``, the code of word x, and those of windows that begin after x and end before ``end``, all without earlier samples' words; ``words``: all samples' words there."""
+        if level == len(SAMPLES):
+            return F.when(x < end - WINDOW, F.concat(F.array(own), F.transform(F.sequence(x + 1, end - WINDOW), lambda j: code(j, F.lit(0))))).otherwise(F.array(own))
 
         def each(c: Column, i: Column, q: Column) -> Column:
-            return cover(i, F.when(q == 0, own).otherwise(code(i, i - F.least(i, end - WINDOW)) if level else code(i, F.lit(0))), F.get(c, q + 1), level + 1)
+            return cover(i, F.when(q == 0, own).otherwise(code(i, i - F.least(i, end - WINDOW))), F.get(c, q + 1), words, level + 1)
 
-        gap = _bind(F.concat(F.array(x), words, F.array(end)), lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, q: each(c, i, q))))
+        here = F.transform(F.filter(words, lambda w: chosen(w, level) & (place(w) > x) & (place(w) < end)), place)
+        gap = _bind(F.concat(F.array(x), here, F.array(end)), lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, q: each(c, i, q))))
         return F.when(x < end - WINDOW, gap).otherwise(F.array(own))
 
-    return F.filter(cover(F.lit(-1), code(F.lit(-1), F.lit(0)), F.size(h), 0), lambda c: (c >= 0) & (_at(c) <= F.size(h) - GRAM))
+    def gaps(c: Column, firsts: Column) -> Column:
+        """The codes between words of the first sample, which are those numbered ``firsts`` in c, the samples' words."""
+
+        def each(k: Column, q: Column) -> Column:
+            to = F.get(firsts, q + 1)
+            x, end = F.coalesce(place(F.get(c, k)), F.lit(-1)), F.coalesce(place(F.get(c, to)), F.size(h))
+            return _bind(x, lambda x: _bind(end, lambda end: cover(x, code(x, F.lit(0)), end, F.slice(c, k + 2, to - k - 1), 1)))
+
+        return F.flatten(F.transform(F.slice(firsts, 1, F.size(firsts) - 1), each))
+
+    sampled = F.array_remove(F.transform(h, lambda w, i: F.when(w < LOW, F.shiftleft(i.cast("long"), 2).bitwiseOR(w.bitwiseAND(F.lit(3)))).otherwise(-1)), -1)
+    return _bind(sampled, lambda c: _bind(F.concat(F.array(F.lit(-1)), F.array_remove(F.transform(c, lambda w, k: F.when(chosen(w, 0), k).otherwise(-1)), -1), F.array(F.size(c))), lambda firsts: gaps(c, firsts)))
+
+
+def _hash(words: Column, first: Column, n: int) -> Column:
+    """Of n words from ``first``; outside lambdas, where code is generated for it: a short loop, which is compiled at once."""
+    return F.xxhash64(F.slice(words, first + 1, n))
+
+
+def _grams(rows: DataFrame) -> DataFrame:
+    """(row, code, g): the fingerprints of texts of RUN_WORDS words or more, and the hashes of their grams.
+
+    A code holds the word and, in five bits each: its ``back``; how far before it the last fingerprint (or -1)
+    is; that one's ``back``; how far after it the next fingerprint is (or the first word without a gram).
+    """
+    hashed = rows.where("text is not null").select("row", _hashes(F.col("text")).alias("h"))
+    prints = hashed.select("row", "h", F.when(F.size("h") >= RUN_WORDS, _prints(F.col("h"))).alias("c"))
+    each = prints.select("row", "h", "c", F.posexplode(F.slice("c", 2, F.size("c"))).alias("k", "own"))
+
+    def word(c: Column) -> Column:
+        return F.shiftright(c, 5).cast("int")
 
+    def back(c: Column) -> Column:
+        return c.bitwiseAND(F.lit(31)).cast("int")
 
-def _grams(hashes: Column) -> Column:
-    """(code, hash) of the gram of each fingerprint; null for fewer than RUN_WORDS words."""
+    own, last, end = F.col("own"), F.get("c", F.col("k")), F.size("h") - GRAM + 1
+    fields = back(own), word(own) - word(last), back(last), F.least(F.coalesce(word(F.get("c", F.col("k") + 2)), end), end) - word(own)
+    code = word(own).cast("long")
+    for x in fields:
+        code = F.shiftleft(code, 5).bitwiseOR(x.cast("long"))
+    return each.where(word(own) < end).select("row", code.alias("code"), _hash(F.col("h"), word(own), GRAM).alias("g"))
 
-    def gram(h: Column, at: Column) -> Column:
-        return F.xxhash64(*(F.get(h, at + i) for i in range(GRAM)))  # a slice costs more than twice as much
 
-    return _bind(hashes, lambda h: F.when(F.size(h) >= RUN_WORDS, F.transform(_prints(h), lambda c: F.struct(c.alias("code"), _bind(_at(c), lambda at: gram(h, at)).alias("g")))))
+def _several(prints: DataFrame) -> DataFrame:
+    """The rows whose gram occurs more than once.  They are shuffled once, for the counts and for the rows; no task holds a gram's rows."""
+    prints = prints.repartition("g")
+    one = F.when((F.col("code") < 0) & F.col("row").isNull(), 0).otherwise(1)  # always 1: it keeps all columns, so that both shuffles are one
+    counts = prints.groupBy("g").agg(F.sum(one).alias("n")).where("n > 1").select("g")
+    return prints.join(counts.hint("shuffle_hash"), "g")
 
 
 def _linked(df: DataFrame, key: str, at: str, place: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -135,27 +181,22 @@ def _linked(df: DataFrame, key: str, at: str, place: Callable[[Column], Column]
         return F.when(F.lag("row").over(order).isNotNull(), F.xxhash64(F.lag("row").over(order), place(F.col(at)) - place(F.lag(at).over(order))))
 
     within = Window.partitionBy(key, "salt").orderBy("row", at)
-    near = df.withColumn("salt", salt).withColumn("way", way(within)).withColumn("again", F.lead("row").over(within).isNotNull())
+    near = df.withColumn("salt", salt).repartition(key, "salt").withColumn("way", way(within)).withColumn("again", F.lead("row").over(within).isNotNull())
     across = Window.partitionBy(key, "salt").orderBy("row", at)
     near = near.withColumn("salt", F.when(F.col("way").isNull(), -1).otherwise(F.col("salt")))
     return near.select("row", at, F.coalesce("way", way(across)).alias("way"), (F.col("again") | ((F.col("salt") == -1) & F.lead("row").over(across).isNotNull())).alias("again"))
 
 
-def _chains(prints: Column) -> Column:
-    """(a, b) of words a to b - 1 that chains of ``prints`` (code, way) prove to repeat, in order."""
+def _groups(prints: Column, follows: Callable[[Column, Column], Column]) -> Column:
+    """(x, y) the first and last of the stretches of ``prints`` of which each follows the one before it."""
+    begins = F.array_remove(F.transform(prints, lambda y, k: F.when(F.coalesce(follows(F.get(prints, k - 1), y), F.lit(False)), -1).otherwise(k)), -1)
+    return _bind(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(prints))), lambda i, j: F.struct(F.get(prints, i).alias("x"), F.get(prints, j - 1).alias("y"))))
 
-    def follows(p: Column, k: Column) -> Column:
-        """Whether print k extends the match of the one before it."""
-        x, y = F.get(p, k - 1), F.get(p, k)
-        return F.coalesce((x["way"] == y["way"]) & (_at(y["code"]) - _at(x["code"]) <= GRAM), F.lit(False))
 
-    def of(p: Column) -> Column:
-        begins = F.filter(F.transform(p, lambda x, k: F.when(x["way"].isNotNull() & ((k == 0) | ~follows(p, k)), k)), lambda k: k.isNotNull())
-        ends = F.filter(F.transform(p, lambda x, k: F.when(x["way"].isNotNull() & ((k == F.size(p) - 1) | ~follows(p, k + 1)), k)), lambda k: k.isNotNull())
-        found = F.zip_with(begins, ends, lambda i, j: F.struct(_at(F.get(p, i)["code"]).alias("a"), (_at(F.get(p, j)["code"]) + GRAM).alias("b")))
-        return F.filter(found, lambda c: c["b"] - c["a"] >= RUN_WORDS)
-
-    return _bind(prints, of)
+def _chains(prints: Column) -> Column:
+    """(a, b) of words a to b - 1 that chains of ``prints`` (code, way) prove to repeat, in order: each extends the match of the one before it."""
+    groups = _groups(prints, lambda x, y: (x["way"] == y["way"]) & (_at(y["code"]) - _at(x["code"]) <= GRAM))
+    return F.filter(F.transform(groups, lambda c: F.struct(_at(c["x"]["code"]).alias("a"), (_at(c["y"]["code"]) + GRAM).alias("b"))), lambda c: c["b"] - c["a"] >= RUN_WORDS)
 
 
 def _ranges(numbers: Column) -> Column:
@@ -169,56 +210,42 @@ def _ranges(numbers: Column) -> Column:
     return _bind(numbers, of)
 
 
-def _run_hashes(words: Column, first: Column) -> Column:
-    """(first word, hash) of every run of RUN_WORDS among ``words``, which begin at ``first``: hashes of 5 make those of 25, these those of 50."""
-
-    def every(x: Column, size: int, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*(F.get(x, i + j * size) for j in range(5))))
+def _starts(prints: Column, chains: Column) -> Column:
+    """(lo, hi) of the first words of runs whose own fingerprints are all among ``prints``, and that aren't inside a chain."""
 
-    def runs(x: Column, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((first + i).cast("int").alias("first"), F.xxhash64(F.get(x, i), F.get(x, i + 25)).alias("r")))
+    def bounds(x: Column, y: Column) -> Column:
+        """Of stretches without other fingerprints between: runs without the one before, as their words settle it, nor the one after."""
+        return F.struct((_at(x) - _five(x, 10) - _five(x, 5) + 1).alias("lo"), (_at(y) + _five(y, 0) - WINDOW).alias("hi"))
 
-    return _bind(words, lambda w: _bind(every(w, 1, F.size(w) - 5), lambda x: _bind(every(x, 5, F.size(x) - 21), lambda y: runs(y, F.size(y) - 26))))
+    def outside(found: Column) -> Column:
+        starts = F.flatten(F.transform(found, lambda r: F.sequence(r["lo"], r["hi"])))
+        return _ranges(F.array_except(starts, F.flatten(F.transform(chains, lambda c: F.sequence(c["a"], c["b"] - RUN_WORDS)))))
 
-
-def _runs(hashes: Column, codes: Column, chains: Column) -> Column:
-    """(first word, hash) of each run whose own fingerprints all occur elsewhere too, by ``codes``, and that isn't inside a chain."""
-
-    def starts(single: Column, n: Column) -> Column:
-        """First words of runs: those from which no word of ``single`` is a fingerprint for the run's own words."""
-        reach, end = RUN_WORDS - GRAM + 1, F.shiftleft((n - GRAM + 1).cast("long"), 5)
-        bounds = F.concat(F.array(F.lit(-32).cast("long")), single, F.array(end))
-
-        def between(x: Column, b: Column, k: Column) -> Column:
-            free = F.get(b, k)
-            free = _at(free) - free.bitwiseAND(F.lit(31)).cast("int") + 1
-            return F.when(_at(x) - reach >= free, F.sequence(free, _at(x) - reach)).otherwise(F.array().cast("array<int>"))
-
-        return F.flatten(_bind(bounds, lambda b: F.transform(F.slice(b, 2, F.size(b)), lambda x, k: between(x, b, k))))
-
-    def of(h: Column) -> Column:
-        inside = F.flatten(F.transform(chains, lambda c: F.sequence(c["a"], c["b"] - RUN_WORDS)))
-        ranges = _ranges(F.array_except(starts(F.array_except(_prints(h), codes), F.size(h)), inside))
-        return F.flatten(F.transform(ranges, lambda r: _run_hashes(F.slice(h, r["lo"] + 1, r["hi"] - r["lo"] + RUN_WORDS), r["lo"])))
-
-    return _bind(hashes, of)
+    groups = _groups(prints, lambda x, y: _at(x["code"]) + _five(x["code"], 0) == _at(y["code"]))
+    found = F.filter(F.transform(groups, lambda c: bounds(c["x"]["code"], c["y"]["code"])), lambda r: r["lo"] <= r["hi"])
+    return _bind(found, lambda r: F.when(F.size(chains) == 0, r).otherwise(outside(r)))
 
 
 def marked(rows: DataFrame, store: Store) -> DataFrame:
-    """The table with codes of the fingerprints whose grams occur elsewhere too, and chains; null for none."""
-    prints = rows.where("text is not null").select("row", F.inline(_grams(_hashes(F.col("text")))))
-    shared = _linked(prints, "g", "code", _at).where("way is not null or again")
+    """The table with chains, and the first words (lo, hi) of runs to compare; null where no gram occurs elsewhere too: apart, by ``some``."""
+    shared = _linked(_several(_grams(rows)), "g", "code", _at).where("way is not null or again")
     places = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("code", "way"))).alias("p"))
-    places = _put(store, places.select("row", F.transform("p", lambda x: x["code"]).alias("codes"), _chains(F.col("p")).alias("chains")), "places")
-    return _put(store, rows.join(places.hint("shuffle_hash"), "row", "left"), "marked")  # texts needn't be sorted
+    places = places.select("row", "p", _chains(F.col("p")).alias("chains"))
+    places = _put(store, places.select("row", "chains", _starts(F.col("p"), F.col("chains")).alias("starts")), "places")
+    found = rows.join(places.hint("shuffle_hash"), "row", "left")  # texts needn't be sorted
+    return _put(store, found.withColumn("some", F.col("chains").isNotNull()), "marked", "some")
 
 
 def repeated(found: DataFrame, store: Store) -> DataFrame:
     """(row, a, b): words a to b - 1 of a row occur in earlier places; of a marked table."""
-    some = found.where("codes is not null")
-    runs = some.select("row", F.inline(_runs(_hashes(F.col("text")), F.col("codes"), F.col("chains"))))
+    def pieces(h: Column) -> Column:
+        return F.transform("starts", lambda r: F.struct(r["lo"].alias("lo"), F.slice(h, r["lo"] + 1, r["hi"] - r["lo"] + RUN_WORDS).alias("h")))
+
+    words = found.where("some and size(starts) > 0").select("row", F.inline(_bind(_hashes(F.col("text")), pieces)))
+    runs = words.select("row", "lo", "h", F.explode(F.sequence(F.lit(0), F.size("h") - RUN_WORDS)).alias("i"))
+    runs = runs.select("row", (F.col("lo") + F.col("i")).alias("first"), _hash(F.col("h"), F.col("i"), RUN_WORDS).alias("r"))
     later = _linked(runs, "r", "first").where("way is not null")
-    chains = some.select("row", F.inline("chains"))
+    chains = found.where("some").select("row", F.inline("chains"))
     return _put(store, later.select("row", F.col("first").alias("a"), (F.col("first") + RUN_WORDS).alias("b")), "runs").unionAll(chains)
 
 
@@ -266,8 +293,8 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     store = Store(docs.sparkSession, "passages")
     found = marked(keyed(docs, store), store)
     cuts = _put(store, _cuts(repeated(found, store)), "cuts")
-    whole = found.where("codes is null").select("doc", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
-    out = whole.unionByName(found.where("codes is not null").join(cuts.hint("shuffle_hash"), "row", "left").select("doc", "text", "cuts"))
+    whole = found.where("not some").select("doc", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    out = whole.unionByName(found.where("some").join(cuts.hint("shuffle_hash"), "row", "left").select("doc", "text", "cuts"))
     out = out.withColumn("left", F.when(F.col("cuts").isNotNull(), _without(F.col("text"), F.col("cuts"))))
 
     def lines(text: Column) -> Column:

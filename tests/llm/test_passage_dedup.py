@@ -77,3 +77,23 @@ def test_texts_are_stored_once_and_never_sorted(spark):
     assert out.columns == [*df.columns, "n_lines_removed"]
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: (r.text, r.more) for r in out.collect()} == {i: (t if i < 3 else "", 1) for i, t in rows}
+
+
+def test_only_grams_that_occur_twice_go_on_and_texts_without_any_lie_apart(spark):
+    rows = [(i, sentence(random.Random(i % 6), 120)) for i in range(9)] + [(9, "short"), (10, None)]
+    store = pd.Store(spark, "test")
+    keyed = pd.keyed(frame(spark, rows), store)
+    several = pd._several(pd._grams(keyed))
+    words = {i: t.split() for i, t in rows if t}
+    grams = {i: {tuple(w[a : a + pd.GRAM]) for a in range(len(w) - pd.GRAM + 1)} for i, w in words.items()}
+    got = several.select("row", pd._at(several["code"]).alias("at")).collect()
+    assert {r.row for r in got} == {0, 1, 2, 6, 7, 8}
+    assert all(sum(tuple(words[r.row][r.at : r.at + pd.GRAM]) in g for g in grams.values()) == 2 for r in got)
+    plan = several._jdf.queryExecution()
+    assert plan.toRdd().count() == len(got) and "ReusedExchange" in plan.executedPlan().toString()  # grams are computed and shuffled once
+    found = pd.marked(keyed, store)
+    assert {r.row: r.some for r in found.collect()} == {i: i in {0, 1, 2, 6, 7, 8} for i in range(11)}
+    read = found.where("some")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(some" in read
+    empty = frame(spark, rows).where("false")
+    assert pd.passage_dedup(empty).collect() == []
