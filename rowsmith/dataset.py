@@ -32,7 +32,10 @@ def fresh(prefix: str = "c") -> str:
 
 @dataclass
 class Frame:
-    """df holds cols (in order), the order columns, and _err where a row may have failed."""
+    """df holds cols (in order), the order columns, and _err where a row may have failed.
+
+    stage: (a df, one that it was made from in Python workers, and their function), for the next operator to join them; of no use for another df.
+    """
 
     df: DataFrame
     cols: list[str]
@@ -41,6 +44,11 @@ class Frame:
     may_fail: bool = False
     order: list[str] = field(default_factory=list)
     failed: list[DataFrame] = field(default_factory=list)
+    stage: tuple[DataFrame, DataFrame, Callable] | None = None
+
+    def workers(self) -> tuple[DataFrame, Callable | None]:
+        """Where Python workers begin, and what they do to make df."""
+        return self.stage[1:] if self.stage is not None and self.stage[0] is self.df else (self.df, None)
 
     def values(self) -> list[V]:
         return [V(t, F.col(c)) for c, t in zip(self.cols, self.types, strict=True)]
@@ -242,7 +250,7 @@ class DataSet:
         if self._error is not None:
             return self
         frame = self._lowered()
-        kept = replace(frame, df=frame.df.persist())
+        kept = replace(frame, df=frame.df.persist(), stage=None)
         kept.df.count()
         return DataSet(self._context, kept)
 
@@ -482,12 +490,16 @@ def _python(context: Context, frame: Frame, op: _Pending) -> Frame:
     fields = {f.name: f for f in frame.df.schema.fields}
     schema = T.StructType([T.StructField(c, fields[c].dataType) for c in carried] + [T.StructField(n, to_spark(t)) for n, t in zip(new, types, strict=True)] + [T.StructField("_err", T.StringType())])
     run = pr.worker(group, frame.names, frame.types, frame.cols, new, types, carried, pr.arrow_schema(schema), frame.may_fail, spread)
-    df = frame.df.mapInArrow(run, schema)
+    base, before = frame.workers()
+    run = pr.after(before, run)
+    df = base.mapInArrow(run, schema)
     if op.kind == "filter":
-        return replace(frame, df=df, may_fail=True)
-    if op.kind == "map":
-        return replace(frame, df=df, cols=new, types=types, names=names, may_fail=True)
-    return _placed(frame, df, op, [F.col(n) for n in new], new, types, [F.col("_err")], True)
+        made = replace(frame, df=df, may_fail=True)
+    elif op.kind == "map":
+        made = replace(frame, df=df, cols=new, types=types, names=names, may_fail=True)
+    else:
+        made = _placed(frame, df, op, [F.col(n) for n in new], new, types, [F.col("_err")], True)
+    return replace(made, stage=(made.df, base, run))
 
 
 def _shape(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> tuple[list[Ty], list[str | None], bool]:
@@ -499,8 +511,9 @@ def _shape(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> tup
     rows = good.select(*frame.cols).limit(context.number("sampleRows") + 1).collect()
     seen = pr.Seen(upcast)
     if len(rows) > context.number("sampleRows"):
-        df = frame.df.select(*frame.cols, *(["_err"] if frame.may_fail else []))
-        seen = pr.seen_by(df, pr.results(group, frame.names, frame.types, frame.cols, frame.may_fail), spread, name, upcast)
+        base, before = frame.workers()
+        df = base if before is not None else base.select(*frame.cols, *(["_err"] if frame.may_fail else []))
+        seen = pr.seen_by(df, pr.results(group, frame.names, frame.types, frame.cols, frame.may_fail), spread, name, upcast, before)
     else:
         for r in rows:
             value, error = group.run(tuple(ty.decode(v, t) for v, t in zip(r, frame.types, strict=True)), frame.names)

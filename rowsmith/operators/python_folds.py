@@ -122,8 +122,8 @@ def _spread(types: list, n: int, keys: list[str], spread: bool):
     return run
 
 
-def _aggregates(batch: pa.RecordBatch) -> Iterator[Any]:
-    yield from map(pickle.loads, batch.column(batch.schema.get_field_index("_partial")).to_pylist())
+def _aggregates(batch: pa.RecordBatch) -> Iterator[list]:
+    yield from ([pickle.loads(p)] for p in batch.column(batch.schema.get_field_index("_partial")).to_pylist())
 
 
 def python_fold(context: Context, frame: Frame, combine: Callable, aggregate: Callable, initial: Any, key_at: list[int]) -> Frame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import enum
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -135,6 +136,77 @@ def holds_float(t: Ty) -> bool:
     return t == "f64" or (isinstance(t, tuple) and any(map(holds_float, t[1:])))
 
 
+#: Plain values by their class, and classes by type.
+PLAIN = {type(None): "null", bool: "bool", int: "i64", float: "f64", str: "str"}
+CLASSES = {t: c for c, t in PLAIN.items() if t != "null"}
+
+
+def cells(column: pa.Array, t: Ty) -> list:
+    """A column as the Python values it stands for; plain ones are taken from its buffers at once."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        out = column.to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_boolean(kind) or pa.types.is_integer(kind) or pa.types.is_float64(kind):
+        if not column.null_count:
+            out = column.to_numpy(zero_copy_only=False).tolist()
+        else:
+            out = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+            for i in column.is_null().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                out[i] = None
+    else:
+        out = column.to_pylist()
+    return out if t == "null" or ty.base(t) in CLASSES else [ty.decode(v, t) for v in out]
+
+
+def rows_of(batch: pa.RecordBatch, inputs: list[str], types: list[Ty], has_err: bool) -> tuple[Iterator[tuple], list | None]:
+    """The rows of a batch, and their earlier errors if there are any."""
+    rows = zip(*(cells(batch.column(batch.schema.get_field_index(c)), t) for c, t in zip(inputs, types, strict=True)), strict=True) if inputs else itertools.repeat((), batch.num_rows)
+    err = batch.column(batch.schema.get_field_index("_err")) if has_err else None
+    return rows, None if err is None or err.null_count == len(err) else cells(err, "str")
+
+
+def columns_of(values: list, spread: bool, name: str | None) -> tuple[tuple, list] | None:
+    """Results of one shape as (names, columns), what flatten gives of each; None for others."""
+    kinds = set(map(type, values)) if spread else ()
+    if kinds == {dict}:
+        shapes = set(map(tuple, values))
+        names = shapes.pop()
+        return (names, list(zip(*map(dict.values, values), strict=True))) if not shapes and names and all(isinstance(k, str) for k in names) else None
+    if kinds and all(issubclass(k, tuple) for k in kinds):
+        widths = set(map(len, values))
+        return ((None,) * len(values[0]), list(zip(*values, strict=True))) if len(widths) == 1 and 0 not in widths else None
+    return None if any(issubclass(k, tuple | dict) for k in kinds) else ((name,), [values])
+
+
+def within(ints: Any, low: int, high: int) -> bool:
+    return low <= min(ints) and max(ints) <= high
+
+
+def plain_type(column: Any, upcast: bool) -> tuple[Ty, bool] | None:
+    """The common type of plain values and whether one is inexact; None if there are others, or integers beyond 64 bits."""
+    kinds, wide = set(map(type, column)), False
+    if not kinds <= PLAIN.keys():
+        return None
+    if int in kinds:
+        ints = column if len(kinds) == 1 else [v for v in column if type(v) is int]
+        if not within(ints, -(1 << 63), (1 << 63) - 1):
+            return None
+        wide = not within(ints, -(1 << 53), 1 << 53)
+    return ty.unify_all([PLAIN[k] for k in kinds], upcast), wide
+
+
+def encoded(column: Any, t: Ty) -> Any:
+    """A column's values as Arrow takes them, None if one doesn't fit."""
+    kinds = set(map(type, column))
+    given = column
+    if type(None) in kinds and ty.nullable(t):
+        kinds.discard(type(None))
+        given = [v for v in column if v is not None]
+    if t != "pyobj" and kinds <= {CLASSES.get(ty.base(t))} and (int not in kinds or within(given, -(1 << 63), (1 << 63) - 1)):
+        return column
+    return [ty.encode(v, t) for v in column] if all(ty.fits(v, t) for v in column) else None
+
+
 class Seen:
     """The shapes and types of results. shapes: (count, names) to the columns' types and whether one is inexact; two shapes are as good as more."""
 
@@ -154,6 +226,16 @@ class Seen:
         if not too_large(parts):
             self.add((len(parts), tuple(names)), [ty.of_value(p) for p in parts], [inexact(p) for p in parts])
 
+    def values(self, values: list, spread: bool, name: str | None) -> None:
+        """Results at once where they are plain and of one shape, else one by one."""
+        found = columns_of(values, spread, name) if values else None
+        plain = [plain_type(c, self.upcast) for c in found[1]] if found else [None]
+        if None not in plain:
+            self.add((len(plain), found[0]), [t for t, _ in plain], [w for _, w in plain])
+            return
+        for v in values:
+            self.value(v, spread, name)
+
     def merge(self, other: Seen) -> None:
         for shape, (types, wide) in other.shapes.items():
             self.add(shape, types, wide)
@@ -168,33 +250,34 @@ class Seen:
         return ["pyobj" if t in ("pyobj", "null") or (w and holds_float(t)) else ty.opt(t) for t, w in zip(types, wide, strict=True)], list(names), True
 
 
-def seen_by(df: Any, each: Callable[[pa.RecordBatch], Iterator[Any]], spread: bool, name: str | None, upcast: bool) -> Seen:
-    """What ``each`` gives over all rows: every partition sends one small record."""
+def seen_by(df: Any, each: Callable[[pa.RecordBatch], Iterator[list]], spread: bool, name: str | None, upcast: bool, before: Callable | None = None) -> Seen:
+    """What ``each`` gives over all rows, as lists of results: every partition sends one small record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(upcast)
         for batch in batches:
-            for value in each(batch):
-                seen.value(value, spread, name)
+            for values in each(batch):
+                seen.values(values, spread, name)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(seen)], pa.binary())], names=["seen"])
 
     out = Seen(upcast)
-    for r in df.mapInArrow(run, "seen binary").collect():
+    for r in df.mapInArrow(after(before, run), "seen binary").collect():
         out.merge(pickle.loads(r.seen))
     return out
 
 
-def results(group: Group, names: list, types: list[Ty], inputs: list[str], has_err: bool) -> Callable[[pa.RecordBatch], Iterator[Any]]:
+def after(before: Callable | None, run: Callable) -> Callable:
+    """Two mapInArrow functions as one, so that batches stay in the worker between them."""
+    return run if before is None else lambda batches: run(before(batches))
+
+
+def results(group: Group, names: list, types: list[Ty], inputs: list[str], has_err: bool) -> Callable[[pa.RecordBatch], Iterator[list]]:
     """The good results of an operator over a batch."""
 
-    def each(batch: pa.RecordBatch) -> Iterator[Any]:
-        cells = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
-        prior = batch.column(batch.schema.get_field_index("_err")).to_pylist() if has_err else [None] * batch.num_rows
-        for i in range(batch.num_rows):
-            if prior[i] is None:
-                value, error = group.run(tuple(ty.decode(c[i], t) for c, t in zip(cells, types, strict=True)), names)
-                if value is not DROP and error is None:
-                    yield value
+    def each(batch: pa.RecordBatch) -> Iterator[list]:
+        rows, prior = rows_of(batch, inputs, types, has_err)
+        found = [group.run(row, names) for row in rows] if prior is None else [group.run(row, names) for row, p in zip(rows, prior, strict=True) if p is None]
+        yield [value for value, error in found if error is None and value is not DROP]
 
     return each
 
@@ -208,37 +291,63 @@ def too_large(v: Any) -> bool:
     return isinstance(v, tuple | list) and any(map(too_large, v))
 
 
+def apart(values: list, failed: list[str | None], types: list[Ty], spread: bool) -> tuple[list[list], list[str | None]]:
+    """Columns and errors of a batch, row by row: results that no column of their types holds are set aside."""
+    made, errs, good = [[] for _ in types], [], iter(values)
+    for error in failed:
+        parts: tuple = ()
+        if error is None:
+            value = next(good)
+            parts = flatten(value)[0] if spread else (value,)
+            if len(parts) != len(types) or not all(map(ty.fits, parts, types)):
+                error = errors.chain(OverflowError if any(map(too_large, parts)) else TypeError)
+        errs.append(error)
+        for k, t in enumerate(types):
+            made[k].append(None if error is not None else ty.encode(parts[k], t))
+    return made, errs
+
+
+def filled(column: Any, failed: list[str | None]) -> Any:
+    """A column of the good rows' values, with None at the others."""
+    if len(column) == len(failed):
+        return column
+    good = iter(column)
+    return [next(good) if error is None else None for error in failed]
+
+
 def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: list[str], out_types: list[Ty], carried: list[str], schema: pa.Schema, has_err: bool, spread: bool = True):
     """A mapInArrow function from (inputs, carried, _err) to (carried, out, _err)."""
+    spread, is_filter = spread and group.kind == "map", group.kind == "filter"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
-            prior = batch.column(batch.schema.get_field_index("_err")).to_pylist() if has_err else None
-            keep, values, failed = [], [[] for _ in out], []
-            for i in range(batch.num_rows):
+            rows, prior = rows_of(batch, inputs, types, has_err)
+            keep, values, failed = [], [], []
+            for i, row in enumerate(rows):
                 if prior is not None and prior[i] is not None:
                     keep.append(i)
                     failed.append(prior[i])
-                    for v in values:
-                        v.append(None)
                     continue
-                row = tuple(ty.decode(c[i], t) for c, t in zip(cells, types, strict=True))
                 value, error = group.run(row, names)
-                if value is DROP or (group.kind == "filter" and error is None and not value):
+                if value is DROP or (is_filter and error is None and not value):
                     continue
-                parts: tuple = ()
-                if error is None and group.kind != "filter":
-                    parts = flatten(value)[0] if group.kind == "map" and spread else (value,)
-                    if len(parts) != len(out) or not all(ty.fits(p, t) for p, t in zip(parts, out_types, strict=True)):
-                        error = errors.chain(OverflowError if any(map(too_large, parts)) else TypeError)
                 keep.append(i)
                 failed.append(error)
-                for k, t in enumerate(out_types):
-                    values[k].append(None if error is not None else ty.encode(parts[k], t))
-            index = pa.array(keep, pa.int64())
-            arrays = [batch.column(batch.schema.get_field_index(c)).take(index) for c in carried]
-            arrays += [pa.array(v, schema.field(c).type) for v, c in zip(values, out, strict=True)]
+                if error is None:
+                    values.append(value)
+            made: list = []
+            if not is_filter:
+                found = columns_of(values, spread, None) if values else ((), [()] * len(out))
+                made = [encoded(c, t) for c, t in zip(found[1], out_types, strict=True)] if found and len(found[1]) == len(out) else [None]
+                if any(c is None for c in made):
+                    made, failed = apart(values, failed, out_types, spread)
+                else:
+                    made = [filled(c, failed) for c in made]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried]
+            if len(keep) < batch.num_rows:
+                index = pa.array(keep, pa.int64())
+                arrays = [a.take(index) for a in arrays]
+            arrays += [pa.array(v, schema.field(c).type) for v, c in zip(made, out, strict=True)]
             arrays.append(pa.array(failed, pa.string()))
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
