@@ -515,8 +515,9 @@ def _shape(context: Context, frame: Frame, group: pr.Group, op: _Pending) -> tup
         df = base if before is not None else base.select(*frame.cols, *(["_err"] if frame.may_fail else []))
         seen = pr.seen_by(df, pr.results(group, frame.names, frame.types, frame.cols, frame.may_fail), spread, name, upcast, before)
     else:
+        call = group.bound(frame.names)
         for r in rows:
-            value, error = group.run(tuple(ty.decode(v, t) for v, t in zip(r, frame.types, strict=True)), frame.names)
+            value, error = call(tuple(ty.decode(v, t) for v, t in zip(r, frame.types, strict=True)))
             if value is not pr.DROP and error is None:
                 seen.value(value, spread, name)
     return seen.columns() or (["pyobj"], [name], True)

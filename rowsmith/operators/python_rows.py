@@ -76,31 +76,37 @@ class Group:
     cell: int | None
     handlers: list[tuple[type, Callable | None]] = field(default_factory=list)
 
-    def call(self, f: Callable, row: tuple, names: list) -> Any:
-        if self.cell is not None:
-            return f(row[self.cell])
-        count = getattr(getattr(f, "__code__", None), "co_argcount", 1)
-        if count == 1:
-            return f(row[0] if len(row) == 1 and not self.by_name else PyRow(row, names))
-        return f(*row)
-
-    def run(self, row: tuple, names: list) -> tuple[Any, str | None]:
-        """(value, error); DROP where the row is ignored."""
-        error: Exception | None = None
-        value = None
-        try:
-            value = self.call(self.function, row, names)
-        except Exception as e:
-            error = e
-        for cls, f in self.handlers:
-            if error is not None and isinstance(error, cls):
-                if f is None:
-                    return DROP, None
-                try:
-                    value, error = self.call(f, row, names), None
-                except Exception as e:
-                    error = e
-        return (None, errors.chain(type(error))) if error is not None else (value, None)
+    def caller(self, f: Callable, names: list) -> Callable[[tuple], Any]:
+        """The function as one of a row of values; how it takes them is settled once."""
+        if (at := self.cell) is not None:
+            return lambda row: f(row[at])
+        if getattr(getattr(f, "__code__", None), "co_argcount", 1) != 1:
+            return lambda row: f(*row)
+        if len(names) == 1 and not self.by_name:
+            return lambda row: f(row[0])
+        return lambda row: f(PyRow(row, names))
+
+    def bound(self, names: list) -> Callable[[tuple], tuple[Any, str | None]]:
+        """A function from a row to (value, error); DROP where the row is ignored."""
+        main, handlers = self.caller(self.function, names), [(cls, None if f is None else self.caller(f, names)) for cls, f in self.handlers]
+
+        def run(row: tuple) -> tuple[Any, str | None]:
+            try:
+                return main(row), None
+            except Exception as e:
+                error: Exception | None = e
+            value = None
+            for cls, f in handlers:
+                if error is not None and isinstance(error, cls):
+                    if f is None:
+                        return DROP, None
+                    try:
+                        value, error = f(row), None
+                    except Exception as e:
+                        error = e
+            return (None, errors.chain(type(error))) if error is not None else (value, None)
+
+        return run
 
 
 def reads_by_name(udf: Udf, name: str | None) -> bool:
@@ -276,7 +282,7 @@ def results(group: Group, names: list, types: list[Ty], inputs: list[str], has_e
 
     def each(batch: pa.RecordBatch) -> Iterator[list]:
         rows, prior = rows_of(batch, inputs, types, has_err)
-        found = [group.run(row, names) for row in rows] if prior is None else [group.run(row, names) for row, p in zip(rows, prior, strict=True) if p is None]
+        found = map(group.bound(names), rows if prior is None else (row for row, p in zip(rows, prior, strict=True) if p is None))
         yield [value for value, error in found if error is None and value is not DROP]
 
     return each
@@ -320,6 +326,7 @@ def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: l
     spread, is_filter = spread and group.kind == "map", group.kind == "filter"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = group.bound(names)
         for batch in batches:
             rows, prior = rows_of(batch, inputs, types, has_err)
             keep, values, failed = [], [], []
@@ -328,7 +335,7 @@ def worker(group: Group, names: list, types: list[Ty], inputs: list[str], out: l
                     keep.append(i)
                     failed.append(prior[i])
                     continue
-                value, error = group.run(row, names)
+                value, error = call(row)
                 if value is DROP or (is_filter and error is None and not value):
                     continue
                 keep.append(i)
