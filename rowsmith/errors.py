@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import builtins
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(256)
 def chain(cls: type[BaseException]) -> str:
     return "|".join(c.__name__ for c in cls.__mro__ if issubclass(c, BaseException))
 

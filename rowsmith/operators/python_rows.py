@@ -87,24 +87,23 @@ class Group:
         return lambda row: f(PyRow(row, names))
 
     def bound(self, names: list) -> Callable[[tuple], tuple[Any, str | None]]:
-        """A function from a row to (value, error); DROP where the row is ignored."""
+        """A function from a row to (value, error); DROP where the row is ignored. Of an exception its class alone is kept, so that no row stays behind in a traceback."""
         main, handlers = self.caller(self.function, names), [(cls, None if f is None else self.caller(f, names)) for cls, f in self.handlers]
 
         def run(row: tuple) -> tuple[Any, str | None]:
             try:
                 return main(row), None
             except Exception as e:
-                error: Exception | None = e
-            value = None
+                raised = type(e)
             for cls, f in handlers:
-                if error is not None and isinstance(error, cls):
+                if issubclass(raised, cls):
                     if f is None:
                         return DROP, None
                     try:
-                        value, error = f(row), None
+                        return f(row), None
                     except Exception as e:
-                        error = e
-            return (None, errors.chain(type(error))) if error is not None else (value, None)
+                        raised = type(e)
+            return None, errors.chain(raised)
 
         return run
 
