@@ -86,3 +86,22 @@ def test_errors_leave_no_rows_behind():
         assert call((1,)) == (None, "KeyError|LookupError|Exception|BaseException") and kept[0]() is None
     finally:
         gc.enable()
+
+
+def test_handlers_of_many_rows(calls):
+    """Each handler takes what those before it left; plain results cost no call of their own."""
+
+    def second(k, n):
+        assert n != 2
+        return {"k": k, "n": n, "v": -1.0}
+
+    def first(k, n):
+        return {"k": k, "n": n, "v": 8.0 / (n - 3) if n != 2 else 1 // (n - n)} if n != 5 else [][n]
+
+    n = [x % 7 for x in range(N)]
+    types, rows = ran(first, {"k": list(range(N)), "n": n}, [(ArithmeticError, second), (AssertionError, lambda k, n: {"k": k, "n": n, "v": -2.0}), (ArithmeticError, None)])
+    assert calls.total() < N / 10
+    want = [(None, None, None, "IndexError|LookupError|Exception|BaseException") if x == 5 else (k, x, {2: -2.0, 3: -1.0}[x] if x in (2, 3) else 8.0 / (x - 3), None) for k, x in enumerate(n)]
+    assert rows == want and types == [("opt", "i64"), ("opt", "i64"), ("opt", "f64")]
+    _, rows = ran(lambda k, n: 1 // n, {"k": n, "n": n}, [(LookupError, None), (ZeroDivisionError, None)])
+    assert rows == [(1 // x, None) for x in n if x]
