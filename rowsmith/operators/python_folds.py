@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowsmith import errors
 from rowsmith import types as ty
-from rowsmith.operators.python_rows import PyRow, flatten, seen_by, too_large
+from rowsmith.operators.python_rows import flatten, row_class, seen_by, too_large
 from rowsmith.types import to_spark
 
 if TYPE_CHECKING:
@@ -29,25 +29,29 @@ SALTS = 16
 
 
 def _step(frame: Frame, aggregate: Callable):
+    """How a fold takes its rows, settled in the worker: a class of rows doesn't travel."""
     names, count = frame.names, getattr(getattr(aggregate, "__code__", None), "co_argcount", 2)
 
-    def step(acc: Any, row: tuple) -> Any:
-        if count == 2:
-            return aggregate(acc, row[0] if len(row) == 1 else PyRow(row, names))
-        return aggregate(acc, *row)
+    def step() -> Callable[[Any, tuple], Any]:
+        if count != 2:
+            return lambda acc, row: aggregate(acc, *row)
+        if len(names) == 1:
+            return lambda acc, row: aggregate(acc, row[0])
+        kind = row_class(tuple(names))
+        return lambda acc, row: aggregate(acc, kind(row))
 
     return step
 
 
 def _partials(frame: Frame, aggregate: Callable, initial: Any, keys: list[str]):
     """Rows sorted by (salt, keys) to one row (keys, partial, _err) a run of equal keys; failing rows give (null, null, _err)."""
-    step, types, cols, has_err = _step(frame, aggregate), frame.types, frame.cols, frame.may_fail
+    make, types, cols, has_err = _step(frame, aggregate), frame.types, frame.cols, frame.may_fail
     fresh = pickle.dumps(initial)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         acc, any_row = None, False
-        schema = None
+        schema, step = None, make()
         for batch in batches:
             index = [batch.schema.get_field_index(c) for c in cols]
             if schema is None:

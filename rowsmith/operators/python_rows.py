@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import enum
+import functools
 import itertools
 import pickle
 from collections.abc import Callable, Iterator
@@ -34,21 +35,14 @@ DROP = Signal.DROP
 
 
 class PyRow(tuple):
-    """A row that can be read by position or by column name."""
+    """A row that can be read by position or by column name. Rows of the same columns are of one class, which knows the names' places."""
 
-    names: tuple
-
-    def __new__(cls, values: Any, names: Any) -> PyRow:
-        out = super().__new__(cls, values)
-        out.names = tuple(names)
-        return out
+    __slots__ = ()
+    names: tuple = ()
+    places: dict = {}  # noqa: RUF012
 
     def __getitem__(self, key: Any) -> Any:
-        if isinstance(key, str):
-            if key not in self.names:
-                raise KeyError(key)
-            return tuple.__getitem__(self, self.names.index(key))
-        return tuple.__getitem__(self, key)
+        return _at(self, self.places[key] if isinstance(key, str) else key)
 
     def __reduce__(self) -> tuple:
         return (tuple, (tuple(self),))
@@ -57,6 +51,15 @@ class PyRow(tuple):
         return list(self.names)
 
 
+_at = tuple.__getitem__
+
+
+@functools.lru_cache(64)
+def row_class(names: tuple) -> type[PyRow]:
+    places = {n: i for i, n in reversed(list(enumerate(names)))}
+    return type("PyRow", (PyRow,), {"__slots__": (), "names": names, "places": places})
+
+
 @dataclass
 class Handler:
     """``resolve`` (a function) or ``ignore`` (none) for a class."""
@@ -84,7 +87,8 @@ class Group:
             return lambda row: f(*row)
         if len(names) == 1 and not self.by_name:
             return lambda row: f(row[0])
-        return lambda row: f(PyRow(row, names))
+        kind = row_class(tuple(names))
+        return lambda row: f(kind(row))
 
     def bound(self, names: list) -> Callable[[tuple], tuple[Any, str | None]]:
         """A function from a row to (value, error); DROP where the row is ignored. Of an exception its class alone is kept, so that no row stays behind in a traceback."""

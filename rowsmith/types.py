@@ -7,9 +7,11 @@ that no common type fits.
 
 from __future__ import annotations
 
+import pickle
 import typing
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 
 Ty = Any
@@ -167,8 +169,6 @@ def fits(v: Any, t: Ty) -> bool:
 
 def encode(v: Any, t: Ty) -> Any:
     """A Python value as Arrow takes it."""
-    from pyspark import cloudpickle
-
     if t == "pyobj":
         return cloudpickle.dumps(v)
     if v is None:
@@ -189,8 +189,6 @@ def encode(v: Any, t: Ty) -> Any:
 
 def decode(v: Any, t: Ty) -> Any:
     """A value from Arrow or a collected row as the Python value it stands for."""
-    import pickle
-
     if v is None:
         return None
     if t == "pyobj":

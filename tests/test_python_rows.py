@@ -105,3 +105,21 @@ def test_handlers_of_many_rows(calls):
     assert rows == want and types == [("opt", "i64"), ("opt", "i64"), ("opt", "f64")]
     _, rows = ran(lambda k, n: 1 // n, {"k": n, "n": n}, [(LookupError, None), (ZeroDivisionError, None)])
     assert rows == [(1 // x, None) for x in n if x]
+
+
+def test_rows_by_name(calls):
+    """A row holds its values alone; the places of names belong to all rows of the columns."""
+    rows = []
+    call = pr.Group("map", rows.append, False, None).bound(["a", None, "b", "a"])
+    assert call((1, 2, 3, 4)) == call((5, 6, 7, 8)) == (None, None)
+    row = rows[0]
+    assert type(row) is type(rows[1]) and not hasattr(row, "__dict__")
+    assert (row["a"], row["b"], row[1], row[-1], row[1:3], row.keys()) == (1, 3, 2, 4, (2, 3), ["a", None, "b", "a"])
+    assert row == (1, 2, 3, 4) and type(pickle.loads(pickle.dumps(row))) is tuple
+    for key, cls in (("c", KeyError), (4, IndexError), (None, TypeError)):
+        with pytest.raises(cls):
+            row[key]
+    k = list(range(N))
+    types, got = ran(lambda x: {"k": x["k"], "size": "low" if x["q"] < 10 else "high"}, {"k": k, "q": [x * 0.5 for x in k]})
+    assert got == [(x, "low" if x < 20 else "high", None) for x in k] and types == [("opt", "i64"), ("opt", "str")] and calls.total() < N / 10
+    assert ran(lambda x: x, {"k": [1, 2], "s": ["u", None]})[1] == [(1, "u", None), (2, None, None)]
